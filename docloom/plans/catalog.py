@@ -23,12 +23,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import queries as _registered  # noqa: F401
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import queries as _registered  # noqa: F401
     return _SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["embedding_topk"](spark, sf_dir)
+    return queries()["embedding_topk"](spark, sf_dir)
