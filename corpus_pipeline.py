@@ -42,9 +42,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies")
+    times = f"_times_{uuid.uuid4().hex}"  # a name that no column of docs has
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias(times))
     taken = docs.join(copies.hint("shuffle_hash"), "doc_id")
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
