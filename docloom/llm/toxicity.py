@@ -25,7 +25,7 @@ from .common import stored, text_or_empty, texts
 SAMPLE = 10_000
 #: Features a category adds at most, the least documents one is met in, and the least chi-square.
 FEATURES, LEAST_DOCS, LEAST_CHI2 = 400, 5, 20.0
-FOLDS, RIDGE, STEPS = 5, 1.0, 120
+FOLDS, RIDGE, STEPS = 5, 0.05, 200
 #: Characters of a word's beginnings.
 BEGINNINGS = (4, 5)
 
@@ -43,11 +43,12 @@ def features(text: str) -> set[str]:
 
 @dataclass
 class Linear:
-    """Logistic model: ``weights`` by feature place, ``before`` by earlier category."""
+    """Logistic model: ``weights`` by feature place, ``before`` by earlier category; from ``cut`` on a text has the category."""
 
     bias: float
     weights: np.ndarray
     before: np.ndarray
+    cut: float = 0.5
 
 
 @dataclass
@@ -87,6 +88,18 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
     return w
 
 
+def best_cut(p: np.ndarray, y: np.ndarray) -> float:
+    """Probability that parts the categories with the best F1, half way to the next below it; a half if one is empty."""
+    if not 0 < y.sum() < len(y):
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    p, y = p[order], y[order]
+    ends = np.append(p[1:] != p[:-1], True)  # equal probabilities stay together
+    f1 = np.where(ends, 2 * np.cumsum(y) / (np.arange(1, len(y) + 1) + y.sum()), -1)
+    k = int(f1.argmax())
+    return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
+
+
 def fit_chain(x: np.ndarray, labels: np.ndarray, categories: Sequence[str], places: dict[str, int], folds: np.ndarray) -> Chain:
     """Chain over rows ``x`` (features present or not); ``labels`` are 0, 1 or nan for unknown."""
     n = len(x)
@@ -102,7 +115,8 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, categories: Sequence[str], plac
             if rest.any() and train.any():
                 logit[rest] = data[rest] @ fit_linear(data[train], y[train])
         w = fit_linear(data[known], y[known]) if known.any() else np.zeros(data.shape[1])
-        models.append(Linear(float(w[0]), w[1 : 1 + x.shape[1]], w[1 + x.shape[1] :]))
+        cut = best_cut(1 / (1 + np.exp(-np.clip(logit[known], -30, 30))), y[known])
+        models.append(Linear(float(w[0]), w[1 : 1 + x.shape[1]], w[1 + x.shape[1] :], cut))
         earlier = np.concatenate([earlier, np.clip(logit, -30, 30)[:, None]], axis=1)
     return Chain(list(categories), places, models)
 
@@ -203,13 +217,15 @@ def classify(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame
     return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **fit_options) -> DataFrame:
+def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float | None = None, **fit_options) -> DataFrame:
     """``doc_id``, ``p_low_quality``, ``p_toxic`` and ``toxic`` (at or above ``threshold``) of every document.
 
-    The chain's categories are low quality, then toxic. Rows of ``labels``
+    The chain's categories are low quality, then toxic; without a threshold of
+    its own, toxic is cut where out-of-fold predictions part best. Rows of ``labels``
     without a doc_id, and labels that are null, teach nothing.
     """
     marked = labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = fit(docs, marked, ("low_quality", "toxic"), **fit_options)
     scored = classify(docs.select("doc_id", "text"), chain)
-    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= threshold).alias("toxic"))
+    cut = chain.models[-1].cut if threshold is None else threshold
+    return scored.select("doc_id", "p_low_quality", "p_toxic", (F.col("p_toxic") >= cut).alias("toxic"))
