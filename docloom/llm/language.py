@@ -77,7 +77,7 @@ class Centroids:
         """Language, similarity in 0..1, and whether the text is rejected."""
         data = letters_only(text or "")
         if not data or not self.langs:
-            return "und", 0.0, True
+            return "und", 0.0, not data
         at, weight = self.vector(data)
         like = self.by_dim[at].T @ weight if len(at) else np.zeros(len(self.of))
         best = int(like.argmax())
@@ -193,7 +193,8 @@ def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataF
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``.
 
     Texts that are null or have no letter are ``und``, with score 0, and
-    rejected. Equal texts get equal results; ties go to the language that sorts
+    rejected; a model without languages calls all texts ``und`` and rejects no
+    other. Equal texts get equal results; ties go to the language that sorts
     first; an empty table gives an empty result; columns of ``docs`` with those
     three names are replaced, others pass unchanged.
     """
