@@ -152,7 +152,7 @@ class VectorIndex:
         state = stamped.join(todo, "source_id", "left_semi").unionByName(done)
         number = (self.version or 0) + 1
         # Sorted by source inside files, so a source's rows are found by row-group statistics; no folder per source.
-        vectors.repartition("source_id").sortWithinPartitions("source_id", "chunk_id").write.mode("overwrite").parquet(f"{self.path}/vectors/{number}")
+        vectors.repartitionByRange("source_id", "chunk_id").sortWithinPartitions("source_id", "chunk_id").write.mode("overwrite").parquet(f"{self.path}/vectors/{number}")
         state.write.mode("overwrite").parquet(f"{self.path}/state/{number}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/current/version={number}")
         upserted = chunks.join(todo, "source_id", "left_semi").count()
