@@ -2,10 +2,12 @@
 
 The index is three small facts about each distinct digest, held as tables:
 
-* its bucket, a few digests that share leading bits;
-* the bucket's ``seed``, found by trial, under which the bucket's digests take
-  the places 0..m-1 without collision, and its ``base``, the number of digests
-  in earlier buckets, so that ``base + place`` numbers all digests 0..n-1;
+* its bucket, a few digests that share leading bits, in a block of about
+  ``BUCKETS`` times as many;
+* the bucket's ``seed``, found by trial in order of falling bucket size, under
+  which its digests take places among the block's 0..m-1 that no other bucket
+  of the block takes, and the block's ``base``, the number of digests in earlier
+  blocks, so that ``base + place`` numbers all digests 0..n-1;
 * the slot of that number, which holds the whole digest and the winner.
 
 A lookup joins on the bucket, computes the slot and compares all bytes of the
@@ -21,13 +23,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions_for, stored, text_or_empty, texts
 
 #: Digests in a bucket on average; larger ones make smaller indexes and slower builds.
 BUCKET_LOAD = 4
+#: Buckets in a block, as a power of two.
+BUCKETS = 10
+#: Seeds tried at once.
+TRIALS = 64
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -42,10 +48,10 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(run, "doc_id bigint, digest binary")
 
 
-def _places(words: np.ndarray, seed: int, m: np.ndarray | int) -> np.ndarray:
-    """Place of each digest (its second and third 8 bytes) under a seed, among m."""
+def _places(words: np.ndarray, seed: np.ndarray, m: np.ndarray | np.uint64) -> np.ndarray:
+    """Places of digests (by their second and third 8 bytes) among m under seeds; a column of seeds gives a row each."""
     with np.errstate(over="ignore"):
-        x = words[:, 1] ^ (words[:, 2] + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+        x = words[:, 1] ^ (words[:, 2] + seed * np.uint64(0x9E3779B97F4A7C15))
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(29)
@@ -68,41 +74,53 @@ def build_index(winners: DataFrame, bucket_load: int = BUCKET_LOAD) -> tuple[Dat
     spark = winners.sparkSession
     n = winners.count()
     bits = max(0, min(40, int(np.ceil(np.log2(max(1, n) / bucket_load)))))
-    coarse_bits = max(0, bits - 10)
+    coarse_bits = max(0, bits - BUCKETS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Seeds of whole buckets: rows come sorted by digest, so buckets come in one piece."""
+        """Seeds of whole blocks: rows come sorted by digest, so blocks come in one piece."""
         held: list[pa.RecordBatch] = []
 
+        def heads(words: np.ndarray, kept_bits: int) -> np.ndarray:
+            return words[:, 0] >> np.uint64(64 - kept_bits) if kept_bits else np.zeros(len(words), np.uint64)
+
+        def seeds_of(words: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Seed and place of each digest of one block."""
+            m = len(words)
+            _, first, size = np.unique(bucket, return_index=True, return_counts=True)
+            free = np.ones(m, bool)
+            seed, at = np.empty(m, np.int64), np.empty(m, np.int64)
+            tried = np.arange(TRIALS, dtype=np.uint64)[:, None]
+            for k in np.argsort(-size, kind="stable").tolist():
+                rows = slice(first[k], first[k] + size[k])
+                own, start = words[rows], 0
+                while True:
+                    spots = _places(own, tried + np.uint64(start), np.uint64(m)).astype(np.int64)
+                    good = free[spots].all(axis=1)
+                    if size[k] > 1 and good.any():
+                        ordered = np.sort(spots, axis=1)
+                        good &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+                    if good.any():
+                        hit = int(good.argmax())
+                        seed[rows], at[rows] = start + hit, spots[hit]
+                        free[spots[hit]] = False
+                        break
+                    start += TRIALS
+                    if start > 1 << 31:
+                        raise RuntimeError("a bucket has no seed: equal digests in the index")
+            return seed, at
+
         def seeded(table: pa.Table) -> pa.RecordBatch:
             words = _words(table.column("digest").combine_chunks())
-            bucket = (words[:, 0] >> np.uint64(64 - bits)) if bits else np.zeros(len(words), np.uint64)
-            _, first, size = np.unique(bucket, return_index=True, return_counts=True)
-            which = np.repeat(np.arange(len(first)), size)
-            m = size.astype(np.uint64)[which]
-            seed = np.full(len(first), -1, np.int64)
-            open_rows = np.arange(len(words))
-            trial = 0
-            while len(open_rows):
-                at = _places(words[open_rows], trial, m[open_rows]).astype(np.int64)
-                taken = np.unique(first[which[open_rows]] + at)
-                hit = np.bincount(np.searchsorted(first, taken, side="right") - 1, minlength=len(first)) == size
-                new = hit & (seed < 0)
-                seed[new] = trial
-                open_rows = open_rows[seed[which[open_rows]] < 0]
-                trial += 1
-                if trial > 1 << 22:
-                    raise RuntimeError("a bucket has no seed: equal digests in the index")
-            at = np.empty(len(words), np.int64)
-            for s in np.unique(seed):
-                rows = np.nonzero(seed[which] == s)[0]
-                at[rows] = _places(words[rows], int(s), m[rows]).astype(np.int64)
+            bucket, block = heads(words, bits), heads(words, coarse_bits)
+            edges = [0, *(np.nonzero(block[1:] != block[:-1])[0] + 1).tolist(), len(words)]
+            parts = [seeds_of(words[a:b], bucket[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+            m = np.repeat(np.diff(edges), np.diff(edges))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket.astype(np.int64)),
-                    pa.array(seed[which]),
+                    pa.array(np.concatenate([x[0] for x in parts])),
                     pa.array(m.astype(np.int64)),
-                    pa.array(at),
+                    pa.array(np.concatenate([x[1] for x in parts])),
                     table.column("digest").combine_chunks(),
                     table.column("winner").combine_chunks(),
                     table.column("copies").combine_chunks(),
@@ -110,25 +128,23 @@ def build_index(winners: DataFrame, bucket_load: int = BUCKET_LOAD) -> tuple[Dat
                 ["bucket", "seed", "m", "place", "digest", "winner", "copies"],
             )
 
-        def last_bucket(batch: pa.RecordBatch) -> int:
-            """First row of the batch's last bucket."""
-            words = _words(batch.column("digest"))
-            shift = np.uint64(64 - bits)
-            bucket = words[:, 0] >> shift if bits else np.zeros(len(words), np.uint64)
-            return int(np.searchsorted(bucket, bucket[-1]))
+        def last_block(batch: pa.RecordBatch) -> int:
+            """First row of the batch's last block."""
+            block = heads(_words(batch.column("digest")), coarse_bits)
+            return int(np.searchsorted(block, block[-1]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
-            cut = last_bucket(whole)
+            cut = last_block(whole)
             if cut:
                 yield seeded(pa.Table.from_batches([whole.slice(0, cut)]))
             held = [whole.slice(cut)]
         if held and held[0].num_rows:
             yield seeded(pa.Table.from_batches(held))
 
-    # Range partitions are cut between digests; the coarse part of a digest keeps a bucket in one partition.
+    # A digest's leading bits keep a block in one partition.
     coarse = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("bigint")
     dealt = winners.withColumn("coarse", F.shiftright(coarse, 48 - coarse_bits) if coarse_bits else F.lit(0))
     placed = (
@@ -142,27 +158,20 @@ def build_index(winners: DataFrame, bucket_load: int = BUCKET_LOAD) -> tuple[Dat
     )
     placed = stored(placed, "placed")
     each = placed.groupBy("bucket").agg(F.first("seed").alias("seed"), F.first("m").alias("m"))
-    # Bases: digests before a bucket, first over groups of 1,024 buckets, then inside each group.
-    from pyspark.sql import Window
-
-    each = each.withColumn("part", F.shiftright("bucket", 10))
-    parts = each.groupBy("part").agg(F.sum("m").alias("part_m"))
-    wider = parts.withColumn("wide", F.shiftright("part", 10))
-    wides = wider.groupBy("wide").agg(F.sum("part_m").alias("wide_m"))
+    # Bases: digests before a block, first over groups of 1,024 blocks, then inside each group.
+    each = each.withColumn("block", F.shiftright("bucket", bits - coarse_bits))
+    blocks = each.groupBy("block").agg(F.first("m").alias("m")).withColumn("part", F.shiftright("block", 10))
+    parts = blocks.groupBy("part").agg(F.sum("m").alias("part_m")).withColumn("wide", F.shiftright("part", 10))
+    wides = parts.groupBy("wide").agg(F.sum("part_m").alias("wide_m"))
     before = lambda column, *by: Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
     wides = wides.select("wide", F.coalesce(F.sum("wide_m").over(before("wide")), F.lit(0)).alias("wide_base"))
-    parts = wider.join(wides, "wide").select(
+    parts = parts.join(wides, "wide").select(
         "part", (F.col("wide_base") + F.coalesce(F.sum("part_m").over(before("part", "wide")), F.lit(0))).alias("part_base")
     )
-    seeds = stored(
-        each.join(parts, "part").select(
-            "bucket",
-            "seed",
-            "m",
-            (F.col("part_base") + F.coalesce(F.sum("m").over(before("bucket", "part")), F.lit(0))).alias("base"),
-        ),
-        "seeds",
+    bases = blocks.join(parts, "part").select(
+        "block", (F.col("part_base") + F.coalesce(F.sum("m").over(before("block", "part")), F.lit(0))).alias("base")
     )
+    seeds = stored(each.join(bases, "block").select("bucket", "seed", "m", "base"), "seeds")
     slots = placed.join(seeds.select("bucket", "base"), "bucket").select(
         (F.col("base") + F.col("place")).alias("slot"), F.col("digest").alias("slot_digest"), "winner", "copies"
     )
@@ -182,12 +191,7 @@ def look_up(rows: DataFrame, seeds: DataFrame, slots: DataFrame) -> DataFrame:
             words = _words(batch.column("digest"))
             seed = np.nan_to_num(batch.column("seed").to_numpy(zero_copy_only=False), nan=0).astype(np.uint64)
             m = np.nan_to_num(batch.column("m").to_numpy(zero_copy_only=False), nan=1).astype(np.uint64)
-            with np.errstate(over="ignore"):
-                x = words[:, 1] ^ (words[:, 2] + seed * np.uint64(0x9E3779B97F4A7C15))
-                x ^= x >> np.uint64(32)
-                x *= np.uint64(0xD6E8FEB86659FD93)
-                x ^= x >> np.uint64(29)
-            at = pa.array(((x >> np.uint64(11)) % np.maximum(m, 1)).astype(np.int64))
+            at = pa.array(_places(words, seed, np.maximum(m, np.uint64(1))).astype(np.int64))
             slot = pa.compute.add(batch.column("base"), at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), slot], ["doc_id", "digest", "slot"])
 
