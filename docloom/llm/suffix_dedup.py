@@ -38,7 +38,7 @@ from .common import partitions_for, stored, text_or_empty
 
 LENGTH, GRAM = 100, 24
 #: Bytes of documents that anchors are found in at once, and bytes of runs that one suffix array covers.
-BLOCK, CHUNK = 1 << 21, 1 << 19
+BLOCK, CHUNK = 1 << 19, 1 << 19
 #: Runs of one anchor above which its strings are dealt out one by one, by their hashes.
 HOT = 1024
 #: Bits of an anchor's place inside a block.
@@ -195,7 +195,7 @@ def _runs(packed: DataFrame) -> DataFrame:
 
         expand, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_64_intdigest
         for batch in batches:
-            raws = [expand.decompress(x) for x in batch.column(1).to_pylist()]
+            raws = (expand.decompress(x.as_py()) for x in batch.column(1))  # one at a time
             found = []
             for keys, offsets, raw, ends in _blocks(batch.column(0).to_pylist(), raws):
                 starts, n, anchor = anchored_runs(np.frombuffer(raw, np.uint8), ends)
@@ -293,7 +293,8 @@ def _texts_of(packed: DataFrame, shared: DataFrame, hot: DataFrame) -> DataFrame
         expand, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_64_intdigest
         for batch in batches:
             deal, anchors, keys, starts, cut = [], [], [], [], []
-            for key, data, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for at in range(batch.num_rows):
+                key, data, runs = (batch.column(k)[at].as_py() for k in range(3))
                 raw = expand.decompress(data)
                 for r in sorted(runs, key=lambda x: x["start"]):
                     a, n, anchor = r["start"], r["n"], r["anchor"]
@@ -305,7 +306,7 @@ def _texts_of(packed: DataFrame, shared: DataFrame, hot: DataFrame) -> DataFrame
                         keys.append(key)
                         starts.append(s)
                         cut.append(part)
-                if len(keys) >= 8192:
+                if len(keys) >= 4096:
                     yield flush(deal, anchors, keys, starts, cut)
                     deal, anchors, keys, starts, cut = [], [], [], [], []
             if keys:
@@ -380,25 +381,29 @@ def _cut(packed: DataFrame, marks: DataFrame) -> DataFrame:
         import zstandard
 
         expand = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
-            for key, data, marked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                raw, spans = expand.decompress(data), []
-                for start, n in sorted((m["start"], m["n"]) for m in marked or ()):
-                    end = start + n + LENGTH - 1
-                    if spans and start <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], end)
-                    else:
-                        spans.append([start, end])
-                edges = [0, *(x for s in spans for x in s), len(raw)]
-                kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                row = (key, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans], kept)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
-            )
+        for whole in batches:
+            for first in range(0, whole.num_rows, 512):
+                yield cut(whole.slice(first, 512), expand)
+
+    def cut(batch: pa.RecordBatch, expand) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in range(7)]
+        for key, data, marked in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            raw, spans = expand.decompress(data), []
+            for start, n in sorted((m["start"], m["n"]) for m in marked or ()):
+                end = start + n + LENGTH - 1
+                if spans and start <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], end)
+                else:
+                    spans.append([start, end])
+            edges = [0, *(x for s in spans for x in s), len(raw)]
+            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            row = (key, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in spans], kept)
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+        )
 
     lists = marks.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("marked"))
     joined = packed.join(lists, "key", "left").select("key", "packed", "marked")
