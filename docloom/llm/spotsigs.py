@@ -156,7 +156,8 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
         F.coalesce("before_id", F.lit(0)).alias("k"),
         F.col("before_id").isNull().alias("none"),
         F.col("before_h").alias("h"),
-        F.expr("substring(text, 1, int(before_n div 2))").alias("next_head"),
+        # Bounded by its own length too: both uses of ``own`` read the same columns, so its texts are shuffled once.
+        F.expr("substring(text, 1, int(least(n, before_n div 2)))").alias("next_head"),
         F.col("sigs").alias("next_sigs"),
     )
     edited = F.concat(F.expr("substring(text, 1, int(n - n div 2))"), F.col("next_head"))
@@ -164,7 +165,8 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
     near_next = likeness(F.col("sigs"), F.col("next_sigs"))
     return (
         pairs.select(
-            F.when(~F.col("none"), F.col("k")).alias("doc_id"),
+            "k",
+            "none",
             "h",
             F.col("n").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
@@ -175,6 +177,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
             length_class(F.size("sigs"), threshold).alias("length_class"),
             (likeness(F.col("sigs"), F.col("next_sigs"), threshold) >= threshold).alias("next_is_near"),
         )
-        .dropDuplicates(["doc_id", "h"])
-        .drop("h")
+        .dropDuplicates(["k", "none", "h"])
+        .withColumn("doc_id", F.when(~F.col("none"), F.col("k")))
+        .drop("k", "none", "h")
     )
