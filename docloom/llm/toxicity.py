@@ -59,29 +59,67 @@ class Chain:
     places: dict[str, int]
     models: list[Linear]
 
+    def met(self, text: str) -> list[int]:
+        """Places of the chain's features that a whole text has."""
+        words = set(_WORD.findall(text.lower()))
+        found = words & self.names[0]
+        for n, known in zip(BEGINNINGS, self.names[1:], strict=True):
+            found.update(["^" + x for x in {w[:n] for w in words} & known])
+        return [self.places[x] for x in found]
+
+    @property
+    def names(self) -> list[frozenset[str]]:
+        """Features by kind: whole words, then beginnings of each length."""
+        if "_names" not in self.__dict__:
+            starts = [x[1:] for x in self.places if x[0] == "^"]
+            words = frozenset(x for x in self.places if x[0] != "^")
+            self.__dict__["_names"] = [words, *(frozenset(x for x in starts if len(x) == n) for n in BEGINNINGS)]
+        return self.__dict__["_names"]
+
     def predict(self, text: str) -> list[float]:
-        at = [self.places[x] for x in features(text) & self.places.keys()]
+        at = self.met(text)
         logits: list[float] = []
         for model in self.models:
             logits.append(float(model.bias + model.weights[at].sum() + model.before @ np.array(logits, float)))
         return [float(1 / (1 + np.exp(-x))) for x in np.clip(logits, -30, 30)]
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+@dataclass
+class Rows:
+    """Training rows: places of the features each has, as one list with the row of each, and dense columns."""
+
+    row: np.ndarray
+    at: np.ndarray
+    dense: np.ndarray
+    width: int
+
+    def where(self, kept: np.ndarray) -> "Rows":
+        own = kept[self.row]
+        return Rows((np.cumsum(kept) - 1)[self.row[own]], self.at[own], self.dense[kept], self.width)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        k = self.dense.shape[1]
+        return np.bincount(self.row, w[k:][self.at], len(self.dense)) + self.dense @ w[:k]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.dense.T @ r, np.bincount(self.at, r[self.row], self.width)])
+
+
+def fit_linear(rows: Rows, y: np.ndarray, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
     """Logistic regression with a ridge on all but the first column, by accelerated gradients."""
-    n, d = x.shape
+    d = rows.dense.shape[1] + rows.width
     # A bound of the curvature from a few power iterations.
     v = np.ones(d) / np.sqrt(d)
     for _ in range(8):
-        v = x.T @ (x @ v)
+        v = rows.back(rows.times(v))
         v /= np.linalg.norm(v) or 1.0
-    reach = 0.25 * float(np.linalg.norm(x @ v) ** 2) * 1.1 + ridge
+    reach = 0.25 * float(np.linalg.norm(rows.times(v)) ** 2) * 1.1 + ridge
     penalty = np.full(d, ridge)
     penalty[0] = 1e-3
     w, ahead, t = np.zeros(d), np.zeros(d), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead, -30, 30)))
-        new = ahead - (x.T @ (p - y) + penalty * ahead) / reach
+        p = 1 / (1 + np.exp(-np.clip(rows.times(ahead), -30, 30)))
+        new = ahead - (rows.back(p - y) + penalty * ahead) / reach
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = new + (last - 1) / t * (new - w)
         w = new
@@ -100,23 +138,25 @@ def best_cut(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[k] + (p[k + 1] if k + 1 < len(p) else 0.0)) / 2)
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, categories: Sequence[str], places: dict[str, int], folds: np.ndarray) -> Chain:
-    """Chain over rows ``x`` (features present or not); ``labels`` are 0, 1 or nan for unknown."""
-    n = len(x)
+def fit_chain(found: Sequence[Sequence[int]], labels: np.ndarray, categories: Sequence[str], places: dict[str, int], folds: np.ndarray) -> Chain:
+    """Chain over rows of the features ``found``; ``labels`` are 0, 1 or nan for unknown."""
+    n = len(found)
+    row = np.repeat(np.arange(n), [len(x) for x in found])
+    at = np.concatenate([np.asarray(x, np.int64) for x in found]) if n else np.zeros(0, np.int64)
     models: list[Linear] = []
     earlier = np.zeros((n, 0))
     for k in range(len(categories)):
-        data = np.concatenate([np.ones((n, 1), np.float32), x, earlier.astype(np.float32)], axis=1)
+        data = Rows(row, at, np.concatenate([np.ones((n, 1)), earlier], axis=1), len(places))
         known = ~np.isnan(labels[:, k])
         y = np.nan_to_num(labels[:, k])
         logit = np.zeros(n)
         for fold in range(FOLDS):
             train, rest = known & (folds != fold), folds == fold
             if rest.any() and train.any():
-                logit[rest] = data[rest] @ fit_linear(data[train], y[train])
-        w = fit_linear(data[known], y[known]) if known.any() else np.zeros(data.shape[1])
+                logit[rest] = data.where(rest).times(fit_linear(data.where(train), y[train]))
+        w = fit_linear(data.where(known), y[known]) if known.any() else np.zeros(1 + k + len(places))
         cut = best_cut(1 / (1 + np.exp(-np.clip(logit[known], -30, 30))), y[known])
-        models.append(Linear(float(w[0]), w[1 : 1 + x.shape[1]], w[1 + x.shape[1] :], cut))
+        models.append(Linear(float(w[0]), w[1 + k :], w[1 : 1 + k], cut))
         earlier = np.concatenate([earlier, np.clip(logit, -30, 30)[:, None]], axis=1)
     return Chain(list(categories), places, models)
 
@@ -176,9 +216,11 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
         chosen_features |= {r[0] for r in best.select("feature").collect()}
     places = {w: k for k, w in enumerate(sorted(chosen_features))}
 
+    blank = Chain(names, places, [])
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[places[x] for x in features(t) & places.keys()] for t in texts(batch.column("text"))]
+            found = [blank.met(t) for t in texts(batch.column("text"))]
             kept = [batch.column("doc_id"), *(batch.column(f"y{k}") for k in range(width))]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.int32()))], ["doc_id", *(f"y{k}" for k in range(width)), "at"])
 
@@ -186,13 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     found = rows.mapInArrow(placed, schema).toArrow()
     ids = np.array(found.column("doc_id").to_pylist(), np.int64)
     order = np.argsort(ids, kind="stable")
-    x = np.zeros((len(ids), len(places)), np.float32)
     ats = found.column("at").to_pylist()
-    for row, i in enumerate(order.tolist()):
-        x[row, ats[i]] = 1
     y = np.array([found.column(f"y{k}").to_pylist() for k in range(width)], float).T.reshape(len(ids), width)[order]
     folds = (ids[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(x, y, names, places, folds)
+    return fit_chain([sorted(ats[i]) for i in order.tolist()], y, names, places, folds)
 
 
 def classify(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
