@@ -34,7 +34,7 @@ MAGIC = b"DLTK"
 HEADER = "<4sHH32sI"  # magic, version, bytes an id, dictionary hash, documents
 SHARD_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-#: Whole texts of at most so many bytes, so many of them, train the dictionary: the bound of its sample.
+#: Whole texts of at most so many bytes, about so many of them, train the dictionary: the bound of its sample.
 SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 1000, 16 << 10
 
 
@@ -69,12 +69,9 @@ def write(
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
     end = end_id.to_bytes(4, "little")
-    sample = (
-        source.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
-        .orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-        .limit(SAMPLE_DOCS)
-        .select("text")
-    )
+    # Rows whose hash falls under the wanted share: no sort, and about as many at every size.
+    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
+    sample = source.where((F.octet_length("text") <= SAMPLE_TEXT_BYTES) & (chance < min(1.0, SAMPLE_DOCS / max(1, docs.count())))).select("text")
     encode = serializer(tokenizer)
     trained = train_dictionary([np.frombuffer(encode(r[0]) + end, "<u4").astype(kind).tobytes() for r in sample.toLocalIterator()])
     trained_hash = hashlib.sha256(trained).digest()
