@@ -1,10 +1,11 @@
 """Token counts of documents from the piece counts of their distinct pre-tokens.
 
-Texts are read in blocks of documents. A block gives one row per distinct
-pre-token with the documents that hold it and how often, so the shuffle carries
-each pre-token once a block instead of once a word. Rows meet by pre-token,
-where its pieces are counted once; frequencies times pieces are added up by
-document and return to the block. No ids are made of whole texts.
+Texts are read in blocks of documents. A block lists its distinct pre-tokens,
+each with the documents that hold it and how often, so the shuffle carries each
+pre-token once a block instead of once a word; lists travel in rows of many
+pre-tokens, dealt into ``BUCKETS`` by their hashes. Where a bucket's rows meet,
+each pre-token's pieces are counted once; frequencies times pieces are added up
+by document and return to the block. No ids are made of whole texts.
 
 A pre-token that every block holds is no larger a group than there are blocks,
 and its partition may be split (``rebalance``): a split only counts the same
@@ -14,6 +15,7 @@ pre-token again.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +32,9 @@ SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}{SPACE}|\n")
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
+#: Hash buckets that pre-tokens are dealt into.
+BUCKETS = 4096
+
 #: Pre-tokens whose counts a worker keeps.
 KEPT = 500_000
 
@@ -84,13 +89,19 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
     ignored.
     """
     path = model_path or default_path("piece_bpe_32k.model")
+    packed = "bucket int, block bigint, head boolean, words binary, ends binary, counts binary, held binary"
+    partial_schema = "block bigint, head boolean, docs binary, sums binary, ids binary"
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        names = ["pre_token", "block", "held", "doc_ids", "n_bytes"]
-        none = lambda n, t: pa.nulls(n, pa.list_(t))
+
+        def rows(*columns: list) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4)
+            names = [c.split()[0] for c in packed.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -105,108 +116,110 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
                 ends.append(len(words))
                 sizes.append(len(text.encode()))
             n = batch.num_rows
-            key = np.concatenate(codes) * n + np.repeat(np.arange(n), ends)
-            del codes
+            # The block's documents ride along in a row of their own.
+            ids = batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+            yield rows([block % BUCKETS], [block], [True], [values.tobytes()], [known.astype(np.uint8).tobytes()], [np.array(sizes, "<i8").tobytes()], [b""])
+            words = [w.encode() for w in codes_of]
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            key = place[np.concatenate(codes)] * n + np.repeat(np.arange(n), ends)
+            del codes, codes_of
             key, times = np.unique(key, return_counts=True)
             while (times > 255).any():  # eight bits a frequency; more are further entries
                 more = times > 255
                 key = np.concatenate([key, key[more]])
                 times = np.concatenate([np.where(more, 255, times), times[more] - 255])
-                order = np.argsort(key, kind="stable")
-                key, times = key[order], times[order]
+                again = np.argsort(key, kind="stable")
+                key, times = key[again], times[again]
             code, doc = np.divmod(key, n)
-            held = ((doc << 8) | times).astype(np.int32)
-            offsets = np.searchsorted(code, np.arange(len(codes_of) + 1)).astype(np.int32)
-            words = list(codes_of)
-            # The block's documents ride along under a key of their own.
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f"\0{block}"]),
-                    pa.array([block], pa.int64()),
-                    none(1, pa.int32()),
-                    pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([sizes], pa.list_(pa.int64())),
-                ],
-                names,
-            )
-            for k in range(0, len(words), 20_000):
-                some = words[k : k + 20_000]
-                at = offsets[k : k + len(some) + 1]
-                lists = pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(held[at[0] : at[-1]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array(np.full(len(some), block)), lists, none(len(some), pa.int64()), none(len(some), pa.int64())], names
+            held = ((doc << 8) | times).astype("<i4").tobytes()
+            counts = np.bincount(code, minlength=len(words)).astype("<i4")
+            words = [words[k] for k in order.tolist()]
+            lengths = np.fromiter(map(len, words), "<i4", len(words))
+            filled, first = np.unique(bucket[order], return_index=True)
+            last = np.append(first[1:], len(words))
+            upto = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+            cut = list(zip(filled.tolist(), first.tolist(), last.tolist(), strict=True))
+            for k in range(0, len(cut), 512):
+                some = cut[k : k + 512]
+                yield rows(
+                    [b for b, _, _ in some],
+                    [block] * len(some),
+                    [False] * len(some),
+                    [b"".join(words[i:j]) for _, i, j in some],
+                    [lengths[i:j].tobytes() for _, i, j in some],
+                    [counts[i:j].tobytes() for _, i, j in some],
+                    [held[4 * upto[i] : 4 * upto[j]] for _, i, j in some],
                 )
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        kept: dict[str, int] = worker_cache(f"counts:{path}", dict)
-        names = ["block", "docs", "sums", "doc_ids", "n_bytes"]
-        for batch in batches:
-            heads = np.nonzero(batch.column("doc_ids").is_valid().to_numpy(zero_copy_only=False))[0]
-            if len(heads):
-                at = batch.take(pa.array(heads))
-                empty = pa.nulls(len(heads), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([at.column("block"), empty, pa.nulls(len(heads), pa.list_(pa.int64())), at.column("doc_ids"), at.column("n_bytes")], names)
-            rows = batch.filter(batch.column("held").is_valid())
-            if not rows.num_rows:
-                continue
-            words = rows.column("pre_token").to_pylist()
+        kept: dict[bytes, int] = worker_cache(f"counts:{path}", dict)
+
+        def pieces(words: list[bytes]) -> np.ndarray:
             new = [x for x in dict.fromkeys(words) if x not in kept]
-            fresh = dict(zip(new, pieces_of(model, new), strict=True))
-            if len(kept) + len(fresh) > KEPT:
+            if len(kept) + len(new) > KEPT:
                 kept.clear()
-                lacking = [x for x in dict.fromkeys(words) if x not in fresh]
-                fresh |= zip(lacking, pieces_of(model, lacking), strict=True)
-            kept.update(fresh)
-            pieces = np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
-            lists = rows.column("held")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-            held = lists.flatten().to_numpy(zero_copy_only=False)
-            blocks, which = np.unique(rows.column("block").to_numpy(zero_copy_only=False), return_inverse=True)
-            key = (np.repeat(which.astype(np.int64), sizes) << 32) | (held >> 8)
-            key, back = np.unique(key, return_inverse=True)
-            sums = np.bincount(back, np.repeat(pieces, sizes) * (held & 255)).astype(np.int64)
-            at = np.searchsorted(key >> 32, np.arange(len(blocks) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(blocks),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array((key & 0xFFFFFFFF).astype(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(at), pa.array(sums)),
-                    pa.nulls(len(blocks), pa.list_(pa.int64())),
-                    pa.nulls(len(blocks), pa.list_(pa.int64())),
-                ],
-                names,
-            )
+                new = list(dict.fromkeys(words))
+            kept.update(zip(new, pieces_of(model, [x.decode() for x in new]), strict=True))
+            return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+
+        def rows(*columns: list) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            names = [c.split()[0] for c in partial_schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+        # Sums of a block are gathered over a batch's buckets before they leave.
+        for batch in batches:
+            keys, sums = [], []
+            blocks: dict[int, int] = {}
+            for row in batch.to_pylist():
+                if row["head"]:
+                    yield rows([row["block"]], [True], [row["ends"]], [row["counts"]], [row["words"]])
+                    continue
+                ends = np.cumsum(np.frombuffer(row["ends"], "<i4"))
+                text = row["words"]
+                words = [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                held = np.frombuffer(row["held"], "<i4").astype(np.int64)
+                which = blocks.setdefault(row["block"], len(blocks))
+                keys.append((which << 32) | (held >> 8))
+                sums.append(np.repeat(pieces(words), np.frombuffer(row["counts"], "<i4")) * (held & 255))
+            if not keys:
+                continue
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(back, np.concatenate(sums)).astype("<i8")
+            doc = (key & 0xFFFFFFFF).astype("<i4")
+            at = np.searchsorted(key >> 32, np.arange(len(blocks) + 1)).tolist()
+            cut = list(zip(at, at[1:], strict=False))
+            yield rows(list(blocks), [False] * len(cut), [doc[a:b].tobytes() for a, b in cut], [total[a:b].tobytes() for a, b in cut], [b""] * len(cut))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block, the block's documents first."""
-        block, ids, sizes, total = None, None, None, None
+        ids, sizes, total = None, None, None
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([ids, sizes, pa.array(total), pa.array(total > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
         for batch in batches:
-            numbers = batch.column("block").to_pylist()
-            docs_of, sums_of = batch.column("docs"), batch.column("sums")
-            for k, number in enumerate(numbers):
-                if number != block:
-                    if block is not None:
+            for row in batch.to_pylist():
+                if row["head"]:
+                    if ids is not None:
                         yield done()
-                    block = number
-                    ids, sizes = batch.column("doc_ids")[k].values, batch.column("n_bytes")[k].values
+                    ids = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["docs"], np.uint8) == 0)
+                    sizes = pa.array(np.frombuffer(row["sums"], "<i8"))
                     total = np.zeros(len(ids), np.int64)
                 else:
-                    total[docs_of[k].values.to_numpy()] += sums_of[k].values.to_numpy()
-        if block is not None:
+                    total[np.frombuffer(row["docs"], "<i4")] += np.frombuffer(row["sums"], "<i8")
+        if ids is not None:
             yield done()
 
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    lists = source.mapInArrow(
-        frequencies, "pre_token string, block bigint, held array<int>, doc_ids array<bigint>, n_bytes array<bigint>"
-    )
-    partial = lists.hint("rebalance", "pre_token").mapInArrow(
-        counted, "block bigint, docs array<int>, sums array<bigint>, doc_ids array<bigint>, n_bytes array<bigint>"
-    )
-    back = partial.repartition(partitions_for(spark), "block").sortWithinPartitions("block", F.col("doc_ids").isNull())
+    lists = source.mapInArrow(frequencies, packed)
+    partial = lists.hint("rebalance", "bucket").mapInArrow(counted, partial_schema)
+    back = partial.repartition(partitions_for(spark), "block").sortWithinPartitions("block", F.desc("head"))
     return back.mapInArrow(summed, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
