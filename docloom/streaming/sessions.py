@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,10 +20,22 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 16) ->
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Sessions by idle gap with their bounds and counts; state older than the watermark is dropped."""
+def read_table(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
+    """The whole table at ``path``, one file or a folder of part files, as a stream, event time as ``ts``."""
+    # A path that is a pattern may be one file; a plain one has to be a folder.
+    exact = re.sub(r"([\\*?\[\]{}])", r"\\\1", path[:-1]) + f"[{path[-1]}]"
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", files_per_trigger).parquet(exact)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """Sessions by idle gap with their bounds and counts.
+
+    Rows later than the watermark are lost and state older than it is dropped,
+    in every output mode; with ``late`` None all rows count, in any order.
+    """
     return (
-        events.withWatermark("ts", late)
+        (events if late is None else events.withWatermark("ts", late))
         .groupBy("user_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count("*").alias("n_events"), F.sum("value").alias("value"))
         .select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", "value")
@@ -63,12 +76,13 @@ def rolling_memory(turns: DataFrame, keep: int = 10) -> DataFrame:
 
 
 def sessions_of_folder(spark: SparkSession, path: str, name: str = "docloom_sessions") -> DataFrame:
-    """All sessions of a folder's events, by running the stream to its end.
+    """All sessions of a folder's events table, by running the stream to its end.
 
-    Output is complete: sessions that the watermark has not closed are in it too.
+    Output is complete and no watermark is set, so every event counts whatever
+    files it lies in and whatever order they are read in.
     """
     query = (
-        session_counts(read_events(spark, path))
+        session_counts(read_table(spark, f"{path}/events.parquet"), late=None)
         .writeStream.outputMode("complete")
         .format("memory")
         .queryName(name)

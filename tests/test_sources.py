@@ -137,3 +137,19 @@ def test_window_stream(spark, sf_dir):
     q.awaitTermination()
     total = spark.table("tumbling_test").agg(F.sum("n_events")).first()[0]
     assert total == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_replayed_sessions_are_whole(spark, tmp_path, parts):
+    """Files in reverse order of time, in a folder or as one file: no event is late."""
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 10 * (1999 - id)) AS ts", "id % 7 AS user_id", "'a' AS event_type", "1.0D AS value", "'' AS props")
+    path = tmp_path / "events.parquet"
+    if parts == 1:
+        rows.write.parquet(str(tmp_path / "w"))
+        next((tmp_path / "w").glob("part-*")).rename(path)
+    else:
+        for k in range(parts):
+            rows.where(f"event_id div 50 = {k}").coalesce(1).write.mode("append").parquet(str(path))
+    found = sessions.sessions_of_folder(spark, str(tmp_path), f"replayed_{parts}").collect()
+    # A user's events are 70 minutes apart: each is a session.
+    assert (sum(r.n_events for r in found), len(found)) == (2000, 2000)
