@@ -1,8 +1,10 @@
 """The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the
-last return the columns of ``docs``. ``doc_id`` is the documents' key: rows
-without one are dropped by the first stage that decides by it.
+last return the columns of ``docs``. Each row is a document of its own: stages
+give rows keys while they work and filter and copy by these. ``doc_id`` only
+says which row of a group stays; a row without one stays if no other row of its
+group has one. Of rows that share a doc_id a hash of text and source decides.
 """
 
 from __future__ import annotations
@@ -14,12 +16,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, language, mixing, packing, simhash
-from docloom.llm.common import scratch_root
+from docloom.llm.common import scratch_root, stored
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``ids`` (distinct); ids are hashed, so texts are not sorted."""
-    return docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of every row, and the key's name, which no column of ``docs`` has.
+
+    Keys follow from how rows lie in files, so they are written before anything is decided by them.
+    """
+    key = f"_row_{uuid.uuid4().hex}"
+    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _only(rows: DataFrame, key: str, groups: DataFrame, largest: bool) -> DataFrame:
+    """Of every group of ``groups`` (``row``, ``group``) the row with the largest or smallest doc_id, null ones last.
+
+    Keys are hashed, so texts are not sorted.
+    """
+    ids = rows.select(F.col(key).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text", "source").alias("tie"))
+    place = F.struct(F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull(), "doc_id", "tie", "row")
+    best = (F.max if largest else F.min)(place)
+    kept = groups.join(ids, "row").groupBy("group").agg(best.alias("best")).select(F.col("best.row").alias(key))
+    return rows.join(kept.hint("shuffle_hash"), key, "left_semi").drop(key)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +48,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for the case of A-Z, the one with the largest doc_id."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select("doc_id").distinct()
-    return _only(docs, kept)
+    rows, key = _keyed(docs)
+    found = exact_dedup.exact_duplicates(rows, id_col=key)
+    return _only(rows, key, found.select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")), largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest doc_id."""
-    kept = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return _only(docs, kept)
+    rows, key = _keyed(docs)
+    found = simhash.near_duplicates(rows, id_col=key)
+    return _only(rows, key, found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")), largest=False)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it, at most ``mixing.CAP`` times."""
+    rows, key = _keyed(docs)
     times = f"_times_{uuid.uuid4().hex}"  # a name that no column of docs has
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", F.col("copies").cast("int").alias(times))
-    taken = docs.join(copies.hint("shuffle_hash"), "doc_id")
+    copies = mixing.mix(rows, row_col=key).where("copies > 0").select(key, F.col("copies").cast("int").alias(times))
+    taken = rows.join(copies.hint("shuffle_hash"), key)
     return taken.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 

@@ -159,19 +159,22 @@ def copies(sizes: DataFrame, tilts: DataFrame, cap: int = CAP) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """Copies of every document in a mix whose sources come near their targets.
 
     Returns ``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and
     ``copies`` (0 to ``cap``); words taken are copies times size. A null source
     is a source of its own, after all others. Null and empty texts have size 0
     and no copies. Each row is a document of its own; rows repeated with the
-    same doc_id and size are interchangeable and share their group's copies. A
+    same doc_id and size are interchangeable and share their group's copies,
+    in the order of ``row_col``, a key of rows that is returned too if given. A
     source without words has target 0; an empty table gives an empty result;
     other columns are ignored. Reruns agree.
     """
+    row = [row_col] if row_col else []
     sized = stored(
         docs.select(
+            *row,
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             size_of(text_col).alias("size"),
@@ -184,7 +187,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     worded = per_size.where("size > 0")
     tilts = multipliers(worded, wanted, cap)
     given = copies(grouped.where("size > 0"), tilts, cap)
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", *row))
     ranked = sized.withColumn("rank", rank)
     g, w = given.alias("g"), wanted.alias("w")
     joined = ranked.alias("d").join(
@@ -194,6 +197,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     )
     # One row a source goes to every task: as many as the weights' vocabulary has names.
     return joined.join(w, F.col("d.source").eqNullSafe(F.col("w.source"))).select(
+        *row,
         "d.doc_id",
         "d.source",
         "d.size",

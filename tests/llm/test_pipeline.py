@@ -1,6 +1,7 @@
 """The pipeline against its stages done plainly."""
 
 import collections
+import random
 
 import pytest
 
@@ -10,6 +11,7 @@ import corpus_pipeline
 from docloom.llm import queries
 
 from ..oracle import compare, duck
+from .conftest import DOCS
 from .test_operators import WORD, plain_components, plain_fingerprint
 
 
@@ -53,6 +55,23 @@ def test_odd_tables(spark, odd, none, sf_dir):
         docs.collect()
 
 
+def test_rows_count_without_and_with_repeated_ids(spark, sf_dir):
+    """Each row is a document: nulls stay, repeats of a row go, and copies are not multiplied."""
+    rng = random.Random(22)
+    a, b, c, d, e, g = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(6))
+    data = [(None, a), (None, a.upper()), (None, b), *[(7, c)] * 4, (8, d), (8, e), (9, d), (None, g), (5, g.replace(" ", "  "))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], DOCS).repartition(3)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, sf_dir)
+    found = lambda df: collections.Counter((r.doc_id, r.text.lower()) for r in df.collect())
+    left = [(None, a), (None, b), (7, c), (8, e), (9, d), (5, g.replace(" ", "  "))]
+    assert found(exact) == collections.Counter([*left, (None, g)])
+    near = corpus_pipeline.drop_near_copies(spark, exact, sf_dir)
+    assert found(near) == collections.Counter(left)
+    # One source is taken as it is: every row once, repeated rows too.
+    assert found(corpus_pipeline.mix_sources(spark, near, sf_dir)) == collections.Counter(left)
+    assert found(corpus_pipeline.mix_sources(spark, docs, sf_dir)) == collections.Counter((i, t.lower()) for i, t in data)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, sf_dir, name):
     compare(spark, duck(sf_dir), sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name])
