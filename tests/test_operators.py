@@ -313,3 +313,10 @@ def test_sessions(spark):
 def test_triggers_are_parameters(spark):
     df = spark.createDataFrame([("zap it",)], "v string")
     assert gr.screen(df, "v", gr.Triggers(advice=("zap",))).first().verdict == "ADVICE"
+
+
+def test_blocks_at_any_depth():
+    """Nested below 200 and 3,000 levels of a page too long for one block."""
+    for depth in (250, 3000):
+        found = extract_html.blocks_of("<h2>Top</h2>" + "<p>" + "long text " * 450 + "<b>" * depth + "deep words" + "</b>" * depth + "<i>after</i></p>")
+        assert [(b["text"], b["heading_path"]) for b in found][-2:] == [("deep words", ["Top"]), ("after", ["Top"])]
