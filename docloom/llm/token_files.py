@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import uuid
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -34,17 +35,19 @@ MAGIC = b"DLTK"
 HEADER = "<4sHH32sI"  # magic, version, bytes an id, dictionary hash, documents
 SHARD_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-#: Whole texts of at most so many bytes, about so many of them, train the dictionary: the bound of its sample.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES = 1000, 16 << 10
+#: About so many texts train the dictionary, longer ones by so many characters from a place of theirs: the bound of its sample.
+SAMPLE_DOCS, SAMPLE_TEXT_CHARS = 1000, 16 << 10
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """Dictionary for frames like ``samples``; empty if they are too few or too small to train on."""
+    """Dictionary for frames like ``samples``; empty, with a warning, if they are too few or too small to train on."""
     import zstandard
 
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as e:
+        if samples:
+            warnings.warn(f"frames have no dictionary: none could be trained on {len(samples)} samples ({e})", stacklevel=2)
         return b""
 
 
@@ -71,7 +74,9 @@ def write(
     end = end_id.to_bytes(4, "little")
     # Rows whose hash falls under the wanted share: no sort, and about as many at every size.
     chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    sample = source.where((F.octet_length("text") <= SAMPLE_TEXT_BYTES) & (chance < min(1.0, SAMPLE_DOCS / max(1, docs.count())))).select("text")
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_TEXT_CHARS + 1, F.lit(1)))
+    part = F.substring("text", (place + 1).cast("int"), F.lit(SAMPLE_TEXT_CHARS))
+    sample = source.where(chance < min(1.0, SAMPLE_DOCS / max(1, docs.count()))).select(part)
     encode = serializer(tokenizer)
     trained = train_dictionary([np.frombuffer(encode(r[0]) + end, "<u4").astype(kind).tobytes() for r in sample.toLocalIterator()])
     trained_hash = hashlib.sha256(trained).digest()

@@ -446,6 +446,16 @@ def test_op9_single_documents_and_hashes(spark, documents, rows, tmp_path):
         token_files.read(spark, path)
 
 
+def test_op9_long_documents_have_a_dictionary(spark, tmp_path):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(500)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=5000))) for k in range(40)], "doc_id bigint, text string")
+    token_files.write(docs, f"file://{tmp_path}/ids", public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(spark.read.parquet(f"file://{tmp_path}/ids/dictionary").first().data) > 0
+    with pytest.warns(UserWarning, match="no dictionary"):
+        assert token_files.train_dictionary([b"x"]) == b""
+
+
 def test_op9_odd(odd, none):
     found = token_files.round_trip(odd).collect()
     assert len(found) == 13
