@@ -23,17 +23,15 @@ from .common import partitions_for, stored, text_or_empty
 ANCHORS = ("the", "of", "to", "is", "der", "die", "und", "le", "les", "et", "el", "los", "que", "y")
 SKIPPED = ("a", "and", "in", "be", "was", "for", "that", "das", "den", "ein", "von", "la", "de", "des", "un", "une", "en", "las", "por", "con")
 CHAIN = 2
-#: Common words in a row that a chain steps over; a longer run ends it.
-STEP = 8
+#: Common words in a row that a chain steps over: any number.
+STEP = math.inf
 THRESHOLD = 0.8
 
 
-def _patterns(anchors: tuple[str, ...], skipped: tuple[str, ...], chain: int) -> tuple[str, str]:
-    """Pattern whose first group is an anchor with its chain, and pattern of what separates the chain's words."""
+def _segment(anchors: tuple[str, ...], skipped: tuple[str, ...]) -> str:
+    """Pattern of a run of common words, of any length, with the content word after it, if there is one."""
     common = "(?:" + "|".join(sorted({*anchors, *skipped}, key=lambda w: (-len(w), w))) + ")(?!\\p{L})"
-    first = "(?:" + "|".join(sorted(anchors, key=lambda w: (-len(w), w))) + ")(?!\\p{L})"
-    gap = f"\\P{{L}}++(?:{common}\\P{{L}}++){{0,{STEP}}}+"
-    return f"(?<!\\p{{L}})(?=({first}(?:{gap}(?!{common})\\p{{L}}++){{{chain}}}))", gap
+    return f"(?<!\\p{{L}})(?:{common}\\P{{L}}++)*+(?:\\p{{L}}++|\\z)"
 
 
 def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, skipped: tuple[str, ...] = SKIPPED, chain: int = CHAIN) -> Column:
@@ -42,9 +40,24 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, skipped: tuple[
     The text's start acts as an anchor for its first words, and a text without
     letters is one signature of its own, so only blank texts have none.
     """
-    spot, gap = _patterns(anchors, skipped, chain)
     low = F.lower(text)
-    spots = F.transform(F.regexp_extract_all(low, F.lit(spot), F.lit(1)), lambda s: F.xxhash64(F.regexp_replace(s, gap, " ")))
+    # A common word at the text's end is followed by a blank too, so a segment's last word is common in no case.
+    cut = F.regexp_extract_all(F.concat(low, F.lit(" ")), F.lit(_segment(anchors, skipped)), F.lit(0))
+    wanted = F.array(*map(F.lit, anchors))
+
+    def chains(segments: Column) -> Column:
+        """Anchors of each segment's run with its content word and those of the segments after it."""
+
+        def of(segment: Column, k: Column) -> Column:
+            ahead = [F.regexp_extract(F.get(segments, k + j), "\\p{L}++\\z", 0) for j in range(chain)]
+            found = F.array_intersect(F.regexp_extract_all(segment, F.lit("\\p{L}++"), F.lit(0)), wanted)
+            whole = F.get(segments, k + (chain - 1)).rlike("\\p{L}\\z")
+            return F.when(whole, F.transform(found, lambda a: F.xxhash64(F.concat_ws(" ", a, *ahead)))).otherwise(F.array().cast("array<bigint>"))
+
+        return F.flatten(F.transform(segments, of))
+
+    # An array of one binds the segments to a name, so they are cut once a text.
+    spots = F.get(F.transform(F.array(cut), chains), F.lit(0))
     head = F.regexp_extract(low, "^\\P{L}*+(\\p{L}++(?:\\P{L}++\\p{L}++){0,2}+)", 1)
     bare = F.trim(F.regexp_replace(F.when(head == "", low).otherwise(F.lit("")), "\\s+", " "))
     start = F.when(head != "", F.array(F.xxhash64(F.lit("^"), F.regexp_replace(head, "\\P{L}++", " "))))

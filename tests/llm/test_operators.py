@@ -214,6 +214,15 @@ def test_signatures_are_the_walks(spark, documents):
         assert len(r.s) == len(plain_signatures(r.text)) + extra
 
 
+def test_chains_step_over_any_run(spark):
+    """Anchors before 9 and before 30,000 common words have their chains."""
+    texts = ["the " + "a " * 9 + "cat sat", "the of the " * 10_000 + "cat sat", "cat sat the of", "the cat"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", spotsigs.signatures(F.col("t")).alias("s"))
+    assert [len(r.s) for r in df.orderBy("k").collect()] == [2, 3, 1, 1]
+    chained = spark.range(1).select(F.xxhash64(F.lit("the cat sat")).alias("x")).first().x
+    assert all(chained in r.s for r in df.where("k < 2").collect())
+
+
 def test_op5(documents, rows):
     found = {r.doc_id: r for r in spotsigs.fingerprints_with_edits(documents).collect()}
     order = sorted(rows, key=lambda r: -r.doc_id)
