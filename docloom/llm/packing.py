@@ -1,10 +1,13 @@
 """Best-fit packing of token pieces into sequences of bounded length.
 
-Pieces are dealt over partitions and packed there as they come, longest first,
-into a fixed number of open sequences. A bitset over free space finds the
-fullest open sequence that a piece still fits in; when none fits and all are
-open, the fullest closes. Partitions are independent, so packing is one pass
-over rows of a few bytes, whatever the input's size.
+Pieces are dealt over partitions by a hash and packed there online: each is
+placed for good as it comes, into a fixed number of open sequences. A bitset over
+free space finds the fullest open sequence that a piece still fits in; when none
+fits and all are open, the fullest closes. A partition gets so many tokens
+(``PART_TOKENS``) whatever the session's partitions are, so what its last open
+sequences leave free is a small share of it. Sequences that end loosely filled
+are taken apart and packed again, over fewer partitions, as long as that needs
+fewer sequences.
 """
 
 from __future__ import annotations
@@ -16,9 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored, text_or_empty, texts
+from .common import stored, text_or_empty, texts
 from .tokens import default_path, serializer
 
+#: Tokens of one partition: thousands of sequences, and rows of a few bytes.
+PART_TOKENS = 1 << 24
+#: A sequence filled less than this is packed again.
+LOOSE = 15 / 16
+
 
 class OpenBins:
     """Bounded-space best fit: at most ``limit`` open bins of ``capacity``."""
@@ -81,15 +89,18 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     return source.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def pack(cut: DataFrame, capacity: int, open_bins: int, partitions: int | None = None) -> DataFrame:
-    """``cut`` (rows with ``doc_id``, ``piece``, ``length``) with ``sequence_id`` and ``offset``."""
-    parts = partitions or partitions_for(cut.sparkSession)
-    kept = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint, sequence_id bigint, offset bigint"
+
+
+def _one_pass(cut: DataFrame, capacity: int, open_bins: int, tokens: int, number: int, *order) -> DataFrame:
+    """``cut`` packed in the order of ``order``; ``number`` keeps the sequences of different passes apart."""
+    kept = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+    parts = -(-max(1, tokens) // PART_TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
+        bins, base = OpenBins(capacity, open_bins), (number << 56) | (TaskContext.get().partitionId() << 32)
         for batch in batches:
             placed = [bins.add(n) for n in batch.column("length").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -97,13 +108,32 @@ def pack(cut: DataFrame, capacity: int, open_bins: int, partitions: int | None =
                 [*kept, "sequence_id", "offset"],
             )
 
-    # Rows are dealt by a hash, so a hot document or source is spread evenly.
-    dealt = cut.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32"))
-    ordered = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32").select(*kept)
-    return ordered.mapInArrow(
-        run,
-        "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
-    )
+    # Rows are dealt by their own numbers, so neither a hot document nor many equal ones are one task's.
+    dealt = cut.repartition(parts, F.xxhash64("row")).sortWithinPartitions(*order, F.xxhash64("row")).select(*kept)
+    return dealt.mapInArrow(run, _PLACED)
+
+
+def pack(cut: DataFrame, capacity: int, open_bins: int) -> DataFrame:
+    """``cut`` (``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32``, ``row``) with ``sequence_id`` and ``offset``."""
+    tokens = cut.agg(F.sum("length")).first()[0] or 0
+    placed = stored(_one_pass(cut, capacity, open_bins, tokens, 0), "packed")
+    settled, number = [], 0
+    while True:
+        fills = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
+        loose = stored(fills.where(F.col("fill") < LOOSE * capacity), "loose")
+        count, held = loose.agg(F.count("*"), F.coalesce(F.sum("fill"), F.lit(0))).first()
+        if -(-held // capacity) >= count:  # as few as they can be
+            break
+        number += 1
+        again = placed.join(loose, "sequence_id", "left_semi")
+        packed = stored(_one_pass(again, capacity, open_bins, held, number, F.desc("length")), "packed")
+        if packed.select("sequence_id").distinct().count() >= count:
+            break
+        settled.append(placed.join(loose, "sequence_id", "left_anti"))
+        placed = packed
+    for part in settled:
+        placed = placed.unionByName(part)
+    return placed.drop("row")
 
 
 def best_fit(
@@ -122,9 +152,10 @@ def best_fit(
     ``length``, ``ids_crc32`` (unsigned, of the ids as little-endian unsigned 32
     bits), ``sequence_id`` and ``offset``; places in a sequence have no gaps.
     Null and empty texts are one piece of the end id. Each row is a document of
-    its own, repeated rows and null doc_ids included; ties in length go by
-    doc_id. An empty table gives an empty result; other columns are ignored.
-    Reruns agree for the same number of shuffle partitions.
+    its own, repeated rows and null doc_ids included; ties in length go by a hash
+    of the row's place. An empty table gives an empty result; other columns are
+    ignored. Reruns over the same files agree, whatever the number of shuffle
+    partitions.
     """
     cut = pieces(docs, tokenizer or default_path("word_bpe_49k.json"), capacity, end_id, id_col, text_col)
-    return pack(stored(cut, "pieces"), capacity, open_bins)
+    return pack(stored(cut.withColumn("row", F.monotonically_increasing_id()), "pieces"), capacity, open_bins)

@@ -14,6 +14,8 @@ import os
 import re
 from array import array
 
+from .common import worker_cache
+
 #: Stretches that a worker keeps.
 KEPT = 1_200_000
 
@@ -94,6 +96,4 @@ class _Kept(dict):
 
 def serializer(path: str):
     """Function from a text to its serialized ids by the tokenizer file ``path``; one per worker and file."""
-    from docloom.llm.common import worker_cache
-
     return worker_cache(f"ids:{path}", lambda: _Kept(path)).serialized
