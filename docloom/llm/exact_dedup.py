@@ -11,8 +11,11 @@ The index is three small facts about each distinct digest, held as tables:
 * the slot of that number, which holds the whole digest and the winner.
 
 A lookup joins on the bucket, computes the slot and compares all bytes of the
-digest stored there; digests that fail the comparison were never seen and are
-grouped among themselves.
+digest stored there: a member is a repeat and is counted to the slot's winner;
+digests that fail the comparison were never seen and are grouped among
+themselves. Both arriving groups and history are reduced to distinct digests
+before they are shuffled by digest, so a text that a third of all rows share is
+one row there.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ BUCKET_LOAD = 4
 BUCKETS = 10
 #: Seeds tried at once.
 TRIALS = 64
+#: Without a history of its own, one of so many rows, by a hash of its doc_id, is history and the others arrive.
+HISTORY = 2
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,8 +184,8 @@ def build_index(winners: DataFrame, bucket_load: int = BUCKET_LOAD) -> tuple[Dat
     return seeds, stored(slots, "slots")
 
 
-def look_up(rows: DataFrame, seeds: DataFrame, slots: DataFrame) -> DataFrame:
-    """``rows`` (``doc_id``, ``digest``) with ``winner`` and ``copies`` of the equal digest in the index, else null."""
+def look_up(groups: DataFrame, seeds: DataFrame, slots: DataFrame) -> DataFrame:
+    """``groups`` (``digest``, ``latest``, ``more``) with ``slot``, ``winner`` and ``copies`` of the equal digest in the index, else null."""
     first = seeds.select("bits").first()
     bits = int(first[0]) if first else 0
 
@@ -193,19 +198,19 @@ def look_up(rows: DataFrame, seeds: DataFrame, slots: DataFrame) -> DataFrame:
             m = np.nan_to_num(batch.column("m").to_numpy(zero_copy_only=False), nan=1).astype(np.uint64)
             at = pa.array(_places(words, seed, np.maximum(m, np.uint64(1))).astype(np.int64))
             slot = pa.compute.add(batch.column("base"), at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), slot], ["doc_id", "digest", "slot"])
+            kept = ["digest", "latest", "more"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), slot], [*kept, "at"])
 
     head = F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("bigint")
-    keyed = rows.select("doc_id", "digest", (F.shiftright(head, 48 - bits) if bits else F.lit(0).cast("bigint")).alias("bucket"))
+    keyed = groups.withColumn("bucket", F.shiftright(head, 48 - bits) if bits else F.lit(0).cast("bigint"))
     addressed = (
         keyed.join(seeds.select("bucket", "seed", "base", "m"), "bucket", "left")
-        .select("doc_id", "digest", "seed", "base", "m")
-        .mapInArrow(address, "doc_id bigint, digest binary, slot bigint")
+        .select("digest", "latest", "more", "seed", "base", "m")
+        .mapInArrow(address, "digest binary, latest bigint, more bigint, at bigint")
     )
-    return addressed.join(slots, "slot", "left").select(
-        "doc_id",
-        "digest",
-        *(F.when(F.col("slot_digest") == F.col("digest"), F.col(c)).alias(c) for c in ("winner", "copies")),
+    same = F.col("slot_digest") == F.col("digest")
+    return addressed.join(slots, addressed["at"] == slots["slot"], "left").select(
+        "digest", "latest", "more", *(F.when(same, F.col(c)).alias(c) for c in ("slot", "winner", "copies"))
     )
 
 
@@ -218,10 +223,11 @@ def index_of(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with the row that stays of its group of equal texts.
 
-    The index is built over ``history``, by default ``docs`` itself. Rows whose
-    digest the index holds belong to its winner; the others are grouped among
-    themselves. With a history of its own, a row of ``docs`` that equals a
-    historical text is not kept.
+    The index is built over ``history``. Arriving digests that it holds are
+    repeats; the others are grouped among themselves. A row of ``docs`` that
+    equals a historical text is not kept. Without a history of its own, one row
+    of ``docs`` in ``HISTORY``, by a hash of its doc_id, is history and the
+    others arrive; then the row that stays is the largest doc_id of both.
 
     Returns ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
     Null texts equal empty ones. Rows repeated with the same doc_id all count in
@@ -231,26 +237,31 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, id_col:
     ignored.
     """
     prints = stored(digests(docs, id_col, text_col), "digests")
-    seen = prints if history is None else stored(digests(history, id_col, text_col), "digests")
-    seeds, slots = index_of(seen)
-    found = look_up(prints, seeds, slots)
     if history is None:
-        own = F.col("winner")
-        size = F.col("copies")
-        members = found.where("copies is not null")
+        seen = F.pmod(F.xxhash64("doc_id"), F.lit(HISTORY)) == 0
+        old, new = prints.where(seen), prints.where(~seen)
+    else:
+        old, new = stored(digests(history, id_col, text_col), "digests"), prints
+    seeds, slots = index_of(old)
+    arriving = new.groupBy("digest").agg(F.max("doc_id").alias("latest"), F.count("*").alias("more"))
+    found = stored(look_up(arriving, seeds, slots), "looked-up")
+    repeats = found.where("slot is not null")
+    if history is None:
+        # The history's rows are rows of the result too: a slot's group is its own copies and the repeats.
+        grown = slots.join(repeats.select("slot", "latest", "more"), "slot", "left")
+        known = grown.select(
+            F.col("slot_digest").alias("digest"),
+            F.greatest("winner", "latest").alias("keep_id"),
+            (F.col("copies") + F.coalesce("more", F.lit(0))).alias("group_size"),
+            F.lit(True).alias("stays"),
+        )
     else:
-        extra = prints.groupBy("digest").agg(F.count("*").alias("more"))
-        members = found.where("copies is not null").join(extra, "digest")
-        own, size = F.col("winner"), F.col("copies") + F.col("more")
-    shape = lambda df, keep, n, kept: df.select(
+        known = repeats.select("digest", F.col("winner").alias("keep_id"), (F.col("copies") + F.col("more")).alias("group_size"), F.lit(False).alias("stays"))
+    fresh = found.where("slot is null").select("digest", F.col("latest").alias("keep_id"), F.col("more").alias("group_size"), F.lit(True).alias("stays"))
+    return prints.join(known.unionByName(fresh), "digest").select(
         "doc_id",
-        keep.alias("keep_id"),
-        n.cast("bigint").alias("group_size"),
-        F.coalesce(kept, F.lit(False)).alias("kept"),
+        "keep_id",
+        "group_size",
+        F.coalesce(F.col("stays") & (F.col("doc_id") == F.col("keep_id")), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
-    known = shape(members, own, size, (F.col("doc_id") == own) if history is None else F.lit(False))
-    new = found.where("copies is null").select("doc_id", "digest")
-    groups = new.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.count("*").alias("copies"))
-    fresh = shape(new.join(groups, "digest"), F.col("winner"), F.col("copies"), F.col("doc_id") == F.col("winner"))
-    return known.unionByName(fresh)
