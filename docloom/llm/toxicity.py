@@ -32,6 +32,10 @@ BEGINNINGS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def probability(logit):
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def features(text: str) -> set[str]:
     """Words of a whole text, and with a caret the beginnings of the longer ones."""
     words = set(_WORD.findall(text.lower()))
@@ -78,10 +82,10 @@ class Chain:
 
     def predict(self, text: str) -> list[float]:
         at = self.met(text)
-        logits: list[float] = []
+        found: list[float] = []
         for model in self.models:
-            logits.append(float(model.bias + model.weights[at].sum() + model.before @ np.array(logits, float)))
-        return [float(1 / (1 + np.exp(-x))) for x in np.clip(logits, -30, 30)]
+            found.append(float(probability(model.bias + model.weights[at].sum() + model.before @ np.array(found, float))))
+        return found
 
 
 @dataclass
@@ -118,7 +122,7 @@ def fit_linear(rows: Rows, y: np.ndarray, ridge: float = RIDGE, steps: int = STE
     penalty[0] = 1e-3
     w, ahead, t = np.zeros(d), np.zeros(d), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(rows.times(ahead), -30, 30)))
+        p = probability(rows.times(ahead))
         new = ahead - (rows.back(p - y) + penalty * ahead) / reach
         t, last = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = new + (last - 1) / t * (new - w)
@@ -149,15 +153,15 @@ def fit_chain(found: Sequence[Sequence[int]], labels: np.ndarray, categories: Se
         data = Rows(row, at, np.concatenate([np.ones((n, 1)), earlier], axis=1), len(places))
         known = ~np.isnan(labels[:, k])
         y = np.nan_to_num(labels[:, k])
-        logit = np.zeros(n)
+        unseen = np.full(n, 0.5)
         for fold in range(FOLDS):
             train, rest = known & (folds != fold), folds == fold
             if rest.any() and train.any():
-                logit[rest] = data.where(rest).times(fit_linear(data.where(train), y[train]))
+                unseen[rest] = probability(data.where(rest).times(fit_linear(data.where(train), y[train])))
         w = fit_linear(data.where(known), y[known]) if known.any() else np.zeros(1 + k + len(places))
-        cut = best_cut(1 / (1 + np.exp(-np.clip(logit[known], -30, 30))), y[known])
+        cut = best_cut(unseen[known], y[known])
         models.append(Linear(float(w[0]), w[1 + k :], w[1 : 1 + k], cut))
-        earlier = np.concatenate([earlier, np.clip(logit, -30, 30)[:, None]], axis=1)
+        earlier = np.concatenate([earlier, unseen[:, None]], axis=1)
     return Chain(list(categories), places, models)
 
 
@@ -175,8 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sample: i
     chosen = usable.where(chance < min(1.0, sample / max(1, n))).select(
         F.col(id_col).alias("of"), *(F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(names))
     )
-    # As many rows as the sample's bound: small enough for every task.
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("of")).select(
+    # A sample of so few rows is small enough for every task; a larger one is joined as the planner sees fit.
+    rows = docs.join(F.broadcast(chosen) if sample <= 100_000 else chosen, F.col(id_col) == F.col("of")).select(
         F.col("of").alias("doc_id"), text_or_empty(text_col).alias("text"), *(f"y{k}" for k in range(len(names)))
     )
     rows = stored(rows, "labelled")
