@@ -29,9 +29,9 @@ from .common import stored
 CAP = 3
 WEIGHTS = (5, 2, 1)
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Parts that a group of documents of one source and size is dealt over for rounding.
-PARTS = 1024
-ROUNDS, TOLERANCE = 40, 1e-6
+#: A group of documents of one source and size is dealt over as many parts as the table has so many rows.
+PART_ROWS = 250_000
+ROUNDS, TOLERANCE = 60, 1e-6
 
 
 def size_of(text: str = "text") -> Column:
@@ -126,6 +126,8 @@ def multipliers(sizes: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFram
         worst = state.where(F.col("high") - F.col("low") > 1e-9).agg(F.max("gap")).first()[0]
         if worst is None or worst <= TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"multipliers did not settle in {ROUNDS} rounds: a source misses its target by {worst:.3g} of it")
     return state.select("source", "mean", "multiplier")
 
 
@@ -172,13 +174,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_
     other columns are ignored. Reruns agree.
     """
     row = [row_col] if row_col else []
+    # Rows without a doc_id are dealt too.
+    deal = F.xxhash64(F.coalesce(F.col(id_col).cast("bigint"), F.col(row_col) if row_col else F.monotonically_increasing_id()))
+    parts = 1 + docs.count() // PART_ROWS
     sized = stored(
         docs.select(
             *row,
             F.col(id_col).cast("bigint").alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             size_of(text_col).alias("size"),
-        ).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))),
+            F.pmod(deal, F.lit(parts)).alias("part"),
+        ),
         "sizes",
     )
     grouped = stored(sized.groupBy("source", "size", "part").agg(F.count("*").alias("n")), "grouped")
