@@ -14,11 +14,17 @@ from pyspark.sql import types as T
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset and all runs on this machine, a folder of our own; on a
+    cluster that would be a folder no executor sees, so it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("docloom.scratch.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("docloom.scratch.dir", root)
     return root.rstrip("/")

@@ -10,7 +10,7 @@ A data set is three tables in one folder:
   number of ids, so one short document is read by one slice of one blob;
 * ``bases``: ids before each range of documents, from which places follow.
 
-Ids are serialized as 16 bits where the vocabulary allows, else 32. Blobs are
+Ids are serialized as 16 bits where the tokenizer's vocabulary allows, else 32. Blobs are
 written by Spark, so the folder may lie in any store that Spark writes to.
 """
 
@@ -35,8 +35,8 @@ MAGIC = b"DLTK"
 HEADER = "<4sHH32sI"  # magic, version, bytes an id, dictionary hash, documents
 SHARD_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
-#: About so many texts train the dictionary, longer ones by so many characters from a place of theirs: the bound of its sample.
-SAMPLE_DOCS, SAMPLE_TEXT_CHARS = 1000, 16 << 10
+#: About so many slices of texts train the dictionary, each of so many characters at most: the bound of its sample.
+SAMPLE_SLICES, SLICE_CHARS = 2000, 4 << 10
 
 
 def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -57,28 +57,54 @@ def _dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
+def width_of(tokenizer: str, end_id: int = 0) -> int:
+    """Bytes that hold every id of the tokenizer file ``tokenizer``, and ``end_id``: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()) < 1 << 16 else 4
+
+
+def sample_of(source: DataFrame, tokenizer: str, end: bytes, kind: str) -> list[bytes]:
+    """Serialized ids of about ``SAMPLE_SLICES`` slices, dealt over all slices of all texts alike, so long texts count by their length."""
+    slices = F.greatest(F.ceil(F.length("text") / SLICE_CHARS), F.lit(1)).cast("int")
+    sized = source.select("doc_id", "text", slices.alias("n"))
+    total = sized.agg(F.sum("n")).first()[0] or 1
+    chance = lambda k: F.shiftrightunsigned(F.xxhash64("doc_id", "n", k), 11) / F.lit(float(1 << 53))
+    chosen = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: chance(k) < min(1.0, SAMPLE_SLICES / total))
+    cut = sized.withColumn("k", F.explode(chosen)).select(F.expr(f"substring(text, k * {SLICE_CHARS} + 1, {SLICE_CHARS})").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = serializer(tokenizer)
+        for batch in batches:
+            ids = [np.frombuffer(encode(x) + end, "<u4").astype(kind).tobytes() for x in texts(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+
+    return sorted(bytes(r[0]) for r in cut.mapInArrow(run, "ids binary").toLocalIterator())
+
+
 def write(
     docs: DataFrame,
     path: str,
     tokenizer: str,
     end_id: int = 0,
     level: int = 3,
-    id_bytes: int = 2,
+    id_bytes: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> None:
-    """Write ``docs`` to ``path`` in ascending doc_id order (nulls first)."""
+    """Write ``docs`` to ``path`` in ascending doc_id order (nulls first, texts of one doc_id in the order of a hash).
+
+    ``id_bytes`` is taken from the vocabulary; fewer than it needs is an error.
+    """
+    least = width_of(tokenizer, end_id)
+    id_bytes = id_bytes or least
+    if id_bytes < least:
+        raise ValueError(f"ids of {tokenizer} need {least} bytes, not {id_bytes}")
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
     end = end_id.to_bytes(4, "little")
-    # Rows whose hash falls under the wanted share: no sort, and about as many at every size.
-    chance = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(float(1 << 53))
-    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - SAMPLE_TEXT_CHARS + 1, F.lit(1)))
-    part = F.substring("text", (place + 1).cast("int"), F.lit(SAMPLE_TEXT_CHARS))
-    sample = source.where(chance < min(1.0, SAMPLE_DOCS / max(1, docs.count()))).select(part)
-    encode = serializer(tokenizer)
-    trained = train_dictionary([np.frombuffer(encode(r[0]) + end, "<u4").astype(kind).tobytes() for r in sample.toLocalIterator()])
+    trained = train_dictionary(sample_of(source, tokenizer, end, kind))
     trained_hash = hashlib.sha256(trained).digest()
     spark.createDataFrame([(bytearray(trained), trained_hash.hex())], "data binary, sha256 string").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -101,6 +127,7 @@ def write(
             ends = struct.calcsize(HEADER) + np.cumsum([len(f) for f in frames], dtype=np.int64)
             lengths = np.array([len(f) for f in frames], np.int64)
             total = sum(counts)
+            known = [x for x in doc_ids if x is not None]
             as_list = lambda values, t: pa.array([values], pa.list_(t))
             batch = pa.RecordBatch.from_arrays(
                 [
@@ -108,13 +135,15 @@ def write(
                     pa.array([number], pa.int64()),
                     pa.array([before], pa.int64()),
                     pa.array([total], pa.int64()),
+                    pa.array([min(known, default=None)], pa.int64()),
+                    pa.array([max(known, default=None)], pa.int64()),
                     pa.array([blob], pa.binary()),
                     as_list(list(doc_ids), pa.int64()),
                     as_list((ends - lengths).tolist(), pa.int64()),
                     as_list(lengths.tolist(), pa.int32()),
                     as_list(list(counts), pa.int64()),
                 ],
-                ["part", "shard", "before", "n_ids", "blob", "doc_ids", "offsets", "lengths", "counts"],
+                ["part", "shard", "before", "n_ids", "low", "high", "blob", "doc_ids", "offsets", "lengths", "counts"],
             )
             number, before, size = number + 1, before + total, 0
             doc_ids.clear(), counts.clear(), frames.clear()
@@ -133,9 +162,12 @@ def write(
         if frames:
             yield flush()
 
-    dealt = source.repartitionByRange(partitions_for(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # A hash and the row's number part the rows of one doc_id, so they are no single range.
+    order = ["doc_id", "h", "row"]
+    keyed = source.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
+    dealt = keyed.repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = (
-        "part int, shard bigint, before bigint, n_ids bigint, blob binary, doc_ids array<bigint>, offsets array<bigint>,"
+        "part int, shard bigint, before bigint, n_ids bigint, low bigint, high bigint, blob binary, doc_ids array<bigint>, offsets array<bigint>,"
         " lengths array<int>, counts array<bigint>"
     )
     dealt.mapInArrow(shards, schema).write.option("compression", "uncompressed").option("parquet.enable.dictionary", "false").parquet(f"{path}/shards")
@@ -194,12 +226,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> np.ndarray | None:
-    """Ids of one document, by its index row and one slice of its shard; of repeated doc_ids the first."""
+    """Ids of one document, by its index row and one slice of its shard; of repeated doc_ids the first.
+
+    The least and greatest doc_id of each shard keep the scan from other shards.
+    """
     import zstandard
 
     at = F.array_position("doc_ids", F.lit(doc_id).cast("bigint")).cast("int")
     row = (
         spark.read.parquet(f"{path}/shards")
+        .where((F.col("low") <= doc_id) & (F.col("high") >= doc_id))
         .withColumn("at", at)
         .where("at > 0")
         .orderBy("part", "shard")
@@ -221,7 +257,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -
 
     Returns ``doc_id``, ``start`` (ids of all documents before it), ``n_tokens``
     (with the end id), ``ids_crc32``. Null and empty texts hold the end id alone;
-    repeated rows are documents of their own, in the order of their texts; null
+    repeated rows are documents of their own, in the order of a hash of their texts; null
     doc_ids come first; an empty table gives an empty result; other columns are
     ignored.
     """
