@@ -3,13 +3,14 @@
 Texts are read in blocks of documents. A block lists its distinct pre-tokens,
 each with the documents that hold it and how often, so the shuffle carries each
 pre-token once a block instead of once a word; lists travel in rows of many
-pre-tokens, dealt into ``BUCKETS`` by their hashes. Where a bucket's rows meet,
-each pre-token's pieces are counted once; frequencies times pieces are added up
-by document and return to the block. No ids are made of whole texts.
-
-A pre-token that every block holds is no larger a group than there are blocks,
-and its partition may be split (``rebalance``): a split only counts the same
-pre-token again.
+pre-tokens, dealt into buckets by their hashes. A bucket's rows come one after
+the other; the distinct pre-tokens of a bucket are counted once each, and the
+counts are joined to the rows' frequencies; products are added up by document
+and return to the block. No ids are made of whole texts.
+
+Buckets grow with the input, so the counts that a task holds, those of one
+bucket, do not. A bucket of a pre-token that very many documents hold may be
+split over tasks (``rebalance``): each counts the pre-token once.
 """
 
 from __future__ import annotations
@@ -32,11 +33,8 @@ SPACE = "▁"
 _RUNS = re.compile(f"{SPACE}{SPACE}|\n")
 _CUT = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
-#: Hash buckets that pre-tokens are dealt into.
-BUCKETS = 4096
-
-#: Pre-tokens whose counts a worker keeps.
-KEPT = 500_000
+#: Buckets that pre-tokens are dealt into for every so many bytes of texts.
+BUCKETS, BUCKETS_FOR = 4096, 1 << 40
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -89,6 +87,8 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
     ignored.
     """
     path = model_path or default_path("piece_bpe_32k.model")
+    whole = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    buckets = BUCKETS * (1 + whole // BUCKETS_FOR)
     packed = "bucket int, block bigint, head boolean, words binary, ends binary, counts binary, held binary"
     partial_schema = "block bigint, head boolean, docs binary, sums binary, ids binary"
 
@@ -120,9 +120,9 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-            yield rows([block % BUCKETS], [block], [True], [values.tobytes()], [known.astype(np.uint8).tobytes()], [np.array(sizes, "<i8").tobytes()], [b""])
+            yield rows([block % buckets], [block], [True], [values.tobytes()], [known.astype(np.uint8).tobytes()], [np.array(sizes, "<i8").tobytes()], [b""])
             words = [w.encode() for w in codes_of]
-            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % BUCKETS
+            bucket = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
@@ -141,7 +141,7 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
             words = [words[k] for k in order.tolist()]
             lengths = np.fromiter(map(len, words), "<i4", len(words))
             filled, first = np.unique(bucket[order], return_index=True)
-            last = np.append(first[1:], len(words))
+            last = np.append(first, len(words))[1:]
             upto = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
             cut = list(zip(filled.tolist(), first.tolist(), last.tolist(), strict=True))
             for k in range(0, len(cut), 512):
@@ -158,15 +158,19 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(path)
-        kept: dict[bytes, int] = worker_cache(f"counts:{path}", dict)
-
-        def pieces(words: list[bytes]) -> np.ndarray:
-            new = [x for x in dict.fromkeys(words) if x not in kept]
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-                new = list(dict.fromkeys(words))
-            kept.update(zip(new, pieces_of(model, [x.decode() for x in new]), strict=True))
-            return np.fromiter(map(kept.__getitem__, words), np.int64, len(words))
+        bucket: int | None = None
+        known: dict[bytes, int] = {}  # distinct pre-tokens of the last bucket, which may go on, each with its pieces
+
+        def pieces(some: list[tuple[int, list[bytes]]]) -> np.ndarray:
+            """Pieces of all words of ``some``, which come in the order of their buckets: the library is asked for each distinct one."""
+            nonlocal bucket, known
+            new = [x for x in dict.fromkeys(x for _, words in some for x in words) if x not in known]
+            found = known | dict(zip(new, pieces_of(model, [x.decode() for x in new]), strict=True))
+            last = some[-1][0]
+            kept = known if last == bucket else {}
+            kept.update((x, found[x]) for b, words in some if b == last for x in words)
+            bucket, known = last, kept
+            return np.fromiter([found[x] for _, words in some for x in words], np.int64)
 
         def rows(*columns: list) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
@@ -175,7 +179,7 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
 
         # Sums of a block are gathered over a batch's buckets before they leave.
         for batch in batches:
-            keys, sums = [], []
+            keys, counts, times, some = [], [], [], []
             blocks: dict[int, int] = {}
             for row in batch.to_pylist():
                 if row["head"]:
@@ -183,15 +187,16 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
                     continue
                 ends = np.cumsum(np.frombuffer(row["ends"], "<i4"))
                 text = row["words"]
-                words = [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                some.append((row["bucket"], [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]))
                 held = np.frombuffer(row["held"], "<i4").astype(np.int64)
-                which = blocks.setdefault(row["block"], len(blocks))
-                keys.append((which << 32) | (held >> 8))
-                sums.append(np.repeat(pieces(words), np.frombuffer(row["counts"], "<i4")) * (held & 255))
+                keys.append((blocks.setdefault(row["block"], len(blocks)) << 32) | (held >> 8))
+                counts.append(np.frombuffer(row["counts"], "<i4"))
+                times.append(held & 255)
             if not keys:
                 continue
+            sums = np.repeat(pieces(some), np.concatenate(counts)) * np.concatenate(times)
             key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(back, np.concatenate(sums)).astype("<i8")
+            total = np.bincount(back, sums).astype("<i8")
             doc = (key & 0xFFFFFFFF).astype("<i4")
             at = np.searchsorted(key >> 32, np.arange(len(blocks) + 1)).tolist()
             cut = list(zip(at, at[1:], strict=False))
@@ -220,6 +225,6 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = 40
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
     lists = source.mapInArrow(frequencies, packed)
-    partial = lists.hint("rebalance", "bucket").mapInArrow(counted, partial_schema)
+    partial = lists.hint("rebalance", "bucket").sortWithinPartitions("bucket").mapInArrow(counted, partial_schema)
     back = partial.repartition(partitions_for(spark), "block").sortWithinPartitions("block", F.desc("head"))
     return back.mapInArrow(summed, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
