@@ -120,7 +120,8 @@ def fit(
     """Fit to ``labelled`` (rows with null text or language, or without a letter, teach nothing).
 
     Document frequencies are taken over all of its rows; centroids over about
-    ``per_lang`` texts of each language, chosen by their hashes.
+    ``per_lang`` texts of each language, chosen by their hashes and clustered a
+    language a task.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")
@@ -165,28 +166,40 @@ def fit(
                 ["lang", "at", "n", "size"],
             )
 
-    found = rows.where(chance < share).select("lang", "text").mapInArrow(vectors, "lang string, at array<int>, n array<int>, size int").toArrow()
-    names = found.column("lang").to_pylist()
-    langs = sorted(set(names))
-    matrix, of, like, size = [], [], [], []
-    for k, lang in enumerate(langs):
-        own = [i for i, x in enumerate(names) if x == lang]
+    def clustered(group: pa.Table) -> pa.Table:
+        """Centroids of one language's sample, a row each; the first row also has the sample's sizes and similarities."""
+        rows = zip(*(group.column(c).to_pylist() for c in ("size", "at", "n")), strict=True)
+        own = sorted(rows)  # an order that does not depend on how rows arrive
         dense = np.zeros((len(own), dims), np.float32)
-        for row, i in enumerate(own):
-            at, n = np.array(found.column("at")[i].values), np.array(found.column("n")[i].values)
-            dense[row, at] = (1 + np.log(n)) * idf[at]
+        for row, (_, at, n) in enumerate(own):
+            dense[row, at] = (1 + np.log(np.array(n))) * idf[at]
         dense /= np.linalg.norm(dense, axis=1, keepdims=True)
-        means = _clusters(dense[np.argsort([found.column("size")[i].as_py() for i in own], kind="stable")], centroids, ROUNDS)
-        matrix.append(means)
-        of += [k] * len(means)
-        like += (dense @ means.T).max(axis=1).tolist()
-        size += [found.column("size")[i].as_py() for i in own]
-    like, size = np.array(like), np.array(size, int)
+        means = _clusters(dense, centroids, ROUNDS)
+        like = (dense @ means.T).max(axis=1).astype(np.float64).tolist()
+        blank = [[]] * (len(means) - 1)
+        return pa.table(
+            {
+                "lang": pa.array([group.column("lang")[0].as_py()] * len(means), pa.string()),
+                "centroid": pa.array([m.astype("<f4").tobytes() for m in means], pa.binary()),
+                "sizes": pa.array([[x[0] for x in own], *blank], pa.list_(pa.int32())),
+                "likes": pa.array([like, *blank], pa.list_(pa.float64())),
+            }
+        )
+
+    sampled = rows.where(chance < share).select("lang", "text").mapInArrow(vectors, "lang string, at array<int>, n array<int>, size int")
+    # A group is one language's sample, bounded by per_lang; the driver gets centroids and a number a sampled text.
+    made = sampled.groupBy("lang").applyInArrow(clustered, "lang string, centroid binary, sizes array<int>, likes array<double>").collect()
+    made = sorted(made, key=lambda r: (r.lang, not r.sizes))
+    langs = sorted({r.lang for r in made})
+    matrix = np.array([np.frombuffer(r.centroid, "<f4") for r in made], np.float64).reshape(len(made), dims)
+    of = np.array([langs.index(r.lang) for r in made], int)
+    size = np.array([x for r in made for x in r.sizes], int)
+    like = np.array([x for r in made for x in r.likes], float)
     middle = [np.median(like[size == c]) if (size == c).any() else np.nan for c in range(8)]
     # A class without examples takes the floor of the next larger that has some, else of the smaller.
     known = [c for c in range(8) if not np.isnan(middle[c])]
     floors = [REJECT_SHARE * middle[min(known, key=lambda x: (x < c, abs(x - c)))] if known else 0.0 for c in range(8)]
-    return Centroids(langs, idf, np.concatenate(matrix).astype(np.float64) if matrix else np.zeros((0, dims)), np.array(of, int), floors)
+    return Centroids(langs, idf, matrix, of, floors)
 
 
 def identify(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
