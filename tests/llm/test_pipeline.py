@@ -3,11 +3,8 @@
 import collections
 import random
 
-import pytest
-
-pytest.importorskip("docloom.llm")
-
 import corpus_pipeline
+import pytest
 from docloom.llm import queries
 
 from ..oracle import compare, duck
