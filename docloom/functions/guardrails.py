@@ -50,6 +50,12 @@ class Triggers:
     ambiguous_performance: Sequence[str] = AMBIGUOUS_PERFORMANCE
 
 
+#: Forms for Spark of the patterns that would begin anew at every character of a run.
+_RUN_BOUND = {"email": "(?<![A-Za-z0-9_.+-])[A-Za-z0-9_.+-]++@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+"}
+#: What a text must hold for a pattern to be worth a search.
+_WORTH = {"email": "@", "account": "[0-9]{9}", "phone": "[0-9](?:[\\s-]?[0-9]){9}"}
+
+
 def any_of(phrases: Sequence[str]) -> str:
     """One case-insensitive pattern for all phrases, bounded by anything but ASCII word characters."""
     return "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in phrases) + ")(?![A-Za-z0-9_])"
@@ -58,7 +64,8 @@ def any_of(phrases: Sequence[str]) -> str:
 def find_pii(column: Column) -> Column:
     """Name of the first pattern, in order of precedence, that a text holds; else null."""
     value = tx.text_of(column)
-    found = [F.when(value.rlike(pattern), F.lit(name)) for name, pattern in PII_PATTERNS.items()]
+    worth = lambda name: value.contains("@") if name == "email" else value.rlike(_WORTH.get(name, "[0-9]{4}"))
+    found = [F.when(worth(name) & value.rlike(_RUN_BOUND.get(name, pattern)), F.lit(name)) for name, pattern in PII_PATTERNS.items()]
     return F.coalesce(*found)
 
 
@@ -104,18 +111,19 @@ def verify(body: Column, context: Column, template_id: Column, citation: Column,
     """Struct ``ok``, ``checks`` (by name) and ``violations`` (templates to answer with, in order, each once).
 
     ``context`` is the array of the hits' texts; every number of the body must
-    be one of theirs.
+    be one of theirs, in whatever compatibility form either is written.
     """
     said = tx.strip(tx.text_of(body))
+    numbers = lambda c: tx.numeric_tokens(tx.nfkc(c))
     advice = said.rlike(any_of(ANSWER_ADVICE))
     performance = said.rlike(any_of(ANSWER_PERFORMANCE))
-    known = tx.numeric_tokens(F.array_join(F.coalesce(context, F.array().cast("array<string>")), " ; "))
+    known = numbers(F.array_join(F.coalesce(context, F.array().cast("array<string>")), " ; "))
     checks = {
         "non_empty": (said != "", "NOT_FOUND"),
         "sentence_count": (tx.count_sentences(said) <= max_sentences, "NOT_FOUND"),
         "no_advice": (~advice, "REFUSE_ADVICE"),
         "no_performance": (~performance, "REFUSE_PERFORMANCE"),
-        "numerics_grounded": (F.size(F.array_except(tx.numeric_tokens(said), known)) == 0, "NOT_FOUND"),
+        "numerics_grounded": (F.size(F.array_except(numbers(said), known)) == 0, "NOT_FOUND"),
         "citation_trusted": (citation.isNull() | F.coalesce(F.array_contains(allowed_urls, citation), F.lit(False)), "NOT_FOUND"),
         "refusal_not_advice": (~(F.coalesce(template_id.startswith("REFUSE_"), F.lit(False)) & advice), "REFUSE_ADVICE"),
     }

@@ -118,8 +118,10 @@ def respond(questions: DataFrame, hits: DataFrame, generator: Generator | None =
     drafted = replied.withColumns({"declined": declined, "body": body, "cited": pick_citation(F.col("hits"), settings.citation_score_floor)})
     urls = F.transform("hits", lambda h: h["source_url"])
     texts = F.transform("hits", lambda h: h["document"])
+    # A reply that states its link or date line itself is judged by its own words.
+    own = gr.without_suffixes(F.col("body"), last_updated(F.array(F.col("cited")["source_date"])), F.col("cited")["source_url"])
     checked = drafted.withColumn(
-        "verified", gr.verify(F.col("body"), texts, F.lit("FACTUAL"), F.col("cited")["source_url"], urls, settings.max_sentences)
+        "verified", gr.verify(own, texts, F.lit("FACTUAL"), F.col("cited")["source_url"], urls, settings.max_sentences)
     )
     template = F.coalesce("declined", F.when(~F.col("verified")["ok"], F.get(F.col("verified")["violations"], F.lit(0))), F.lit("FACTUAL"))
     final = checked.withColumn("template_id", template)

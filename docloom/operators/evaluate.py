@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,9 +11,16 @@ def recall(hits: DataFrame, gold: DataFrame, k: int, query_id: str = "query_id",
 
     ``matched_score`` is 0 and ``first_rank`` null for a probe that is missed.
     """
-    near = hits.where(F.col("rank") <= k).join(gold.select(F.col(query_id), F.explode("chunk_ids").alias(hit_id)).distinct(), [query_id, hit_id])
+    listed = gold.select(F.col(query_id), F.explode("chunk_ids").alias(hit_id)).distinct().withColumn("_gold", F.lit(True))
+    marked = hits.join(listed, [query_id, hit_id], "left")
+    return found_gold(marked, gold.select(query_id), k, F.coalesce("_gold", F.lit(False)), query_id)
+
+
+def found_gold(hits: DataFrame, probes: DataFrame, k: int, gold: Column, query_id: str = "query_id") -> DataFrame:
+    """``recall`` where ``gold``, a condition on a hit, says what is gold: nothing is listed by probe."""
+    near = hits.where((F.col("rank") <= k) & gold)
     best = near.groupBy(query_id).agg(F.min("rank").alias("first_rank"), F.min_by("score", "rank").alias("matched_score"))
-    return gold.select(query_id).join(best, query_id, "left").select(
+    return probes.select(query_id).join(best, query_id, "left").select(
         query_id, F.col("first_rank").isNotNull().alias("found"), "first_rank", F.coalesce("matched_score", F.lit(0.0)).alias("matched_score")
     )
 

@@ -1,7 +1,9 @@
 """A vector index kept as a Parquet table partitioned by source, maintained by differences.
 
 State is a table of its own, a row per source: ``source_id, file_hash,
-chunk_hashes (map), chunk_count, fingerprint, embedded_at``.
+chunks_digest, chunk_count, fingerprint, embedded_at``. The digest is made of
+sums, so it does not depend on the order of chunks and no source's chunks are
+gathered in one place.
 """
 
 from __future__ import annotations
@@ -14,15 +16,16 @@ from pyspark.sql import functions as F
 from .embed import Embedder, embed, embedding_text
 
 STATE = (
-    "source_id string, file_hash string, chunk_hashes map<string,string>, chunk_count bigint, fingerprint string,"
+    "source_id string, file_hash string, chunks_digest string, chunk_count bigint, fingerprint string,"
     " embedded_at string"
 )
 
 
 def state_of(chunks: DataFrame, file_hashes: DataFrame | None = None) -> DataFrame:
     """Hashes that a source's state is made of, from ``chunks`` (``source_id, chunk_id, content_hash``)."""
-    pairs = F.array_sort(F.collect_list(F.struct("chunk_id", "content_hash")))
-    state = chunks.groupBy("source_id").agg(F.map_from_entries(pairs).alias("chunk_hashes"), F.count("*").alias("chunk_count"))
+    total = lambda *of: F.sum(F.xxhash64(*of).cast("decimal(38,0)")).cast("string")
+    digest = F.concat_ws(":", total("chunk_id", "content_hash"), total(F.lit("again"), "content_hash", "chunk_id"))
+    state = chunks.groupBy("source_id").agg(digest.alias("chunks_digest"), F.count("*").alias("chunk_count"))
     if file_hashes is None:
         return state.withColumn("file_hash", F.lit(""))
     return state.join(file_hashes, "source_id", "left").withColumn("file_hash", F.coalesce("file_hash", F.lit("")))
@@ -33,14 +36,14 @@ def difference(new: DataFrame, old: DataFrame, fingerprint: str, force: bool = F
 
     A source is unchanged if its file, its chunks and the encoder are what they were.
     """
-    entries = lambda c: F.array_sort(F.map_entries(c))
     n, o = new.alias("n"), old.alias("o")
     joined = n.join(o, F.col("n.source_id") == F.col("o.source_id"), "full_outer")
     same = (
         F.lit(not force)
         & (F.col("o.fingerprint") == fingerprint)
         & F.col("n.file_hash").eqNullSafe(F.col("o.file_hash"))
-        & entries(F.col("n.chunk_hashes")).eqNullSafe(entries(F.col("o.chunk_hashes")))
+        & F.col("n.chunk_count").eqNullSafe(F.col("o.chunk_count"))
+        & F.col("n.chunks_digest").eqNullSafe(F.col("o.chunks_digest"))
     )
     change = (
         F.when(F.col("o.source_id").isNull(), "added")
@@ -147,7 +150,7 @@ class VectorIndex:
                 kept = kept.join(gone, "chunk_id", "left_anti")
             vectors = kept.unionByName(vectors, allowMissingColumns=True)
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        stamped = fresh.select("source_id", "file_hash", "chunk_hashes", "chunk_count", F.lit(embedder.fingerprint).alias("fingerprint"), now.alias("embedded_at"))
+        stamped = fresh.select("source_id", "file_hash", "chunks_digest", "chunk_count", F.lit(embedder.fingerprint).alias("fingerprint"), now.alias("embedded_at"))
         done = old_state.join(changes.where(F.col("change").isin("unchanged", "removed")).select("source_id"), "source_id", "left_semi")
         state = stamped.join(todo, "source_id", "left_semi").unionByName(done)
         number = (self.version or 0) + 1

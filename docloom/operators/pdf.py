@@ -1,30 +1,42 @@
-"""Blocks of PDF pages from their text spans.
+"""Blocks of PDF pages from their text spans and tables.
 
-Decoding PDF files is a pluggable reader; the logic runs on its spans:
-``source_id, page_num, block_no, span_no, text, size``.
+Decoding PDF files is a pluggable reader; the logic runs on its spans
+(``source_id, page_num, block_no, span_no, text, size``) and tables
+(``source_id, page_num, table_no, table_rows``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.sources import pdf_reader
+
+Reader = Callable[[bytes], list[pdf_reader.Page]]
 
 NUMBERED = "^\\s*[0-9]+(?:\\.[0-9]+)*[.)]?\\s+\\S"
 DEFAULT_SIZE, LARGER, MAX_HEADING = 10.0, 1.15, 120
 
 
+def first_seen_mode(rows: DataFrame, by: list[str], value: str, place: Column) -> DataFrame:
+    """``by`` and the most frequent ``value`` of each group; of equally frequent ones the first by ``place``."""
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"), F.min(place).alias("_seen"))
+    # Most frequent is least by the negated count, so both parts of the key rise.
+    return counts.groupBy(*by).agg(F.min_by(value, F.struct(-F.col("_n"), "_seen")).alias(value))
+
+
 def body_sizes(spans: DataFrame) -> DataFrame:
     """Most frequent span size of each page; of equally frequent ones the first seen."""
-    full = spans.where(F.trim("text") != "").withColumn("size", F.round("size", 1))
-    counts = full.groupBy("source_id", "page_num", "size").agg(F.count("*").alias("n"), F.min(F.struct("block_no", "span_no")).alias("seen"))
-    best = Window.partitionBy("source_id", "page_num").orderBy(F.desc("n"), "seen")
-    return counts.withColumn("k", F.row_number().over(best)).where("k = 1").select("source_id", "page_num", F.col("size").alias("body_size"))
+    full = spans.where(F.trim("text") != "").withColumn("body_size", F.round("size", 1))
+    return first_seen_mode(full, ["source_id", "page_num"], "body_size", F.struct("block_no", "span_no"))
 
 
-def span_blocks(spans: DataFrame) -> DataFrame:
-    """Heading and text blocks of all pages, in order."""
+def _headed(spans: DataFrame) -> DataFrame:
+    """Blocks of text of all pages with ``level``, null for prose, and the ``heading_path`` that holds."""
     full = spans.where(F.trim("text") != "")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"])
     merged = full.groupBy("source_id", "page_num", "block_no").agg(F.array_join(parts, "").alias("raw"), F.max("size").alias("font_size"))
@@ -47,13 +59,64 @@ def span_blocks(spans: DataFrame) -> DataFrame:
         .when((last["level"] == 1) | (F.size(heads) == 1), F.array(last["text"]))
         .otherwise(F.array(before["text"], last["text"]))
     )
-    order = Window.partitionBy("source_id").orderBy("page_num", "block_no")
-    return leveled.withColumn("heading_path", path).select(
+    return leveled.withColumn("heading_path", path)
+
+
+def span_blocks(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Heading and text blocks of all pages, in order; a page's tables come after its text, under its last heading."""
+    headed = _headed(spans)
+    shape = lambda df, place, number, kind, text, rows: df.select(
+        "source_id", "page_num", F.lit(place).alias("_place"), F.col(number).alias("_number"), kind.alias("kind"), text.alias("text"), "heading_path", rows.alias("table_rows")
+    )
+    kind = F.when(F.col("level").isNotNull(), "heading").otherwise("text")
+    found = shape(headed, 0, "block_no", kind, F.col("text"), F.lit(None).cast("array<array<string>>"))
+    if tables is not None:
+        last = headed.groupBy("source_id", "page_num").agg(F.max_by("heading_path", "block_no").alias("_last"))
+        wide = F.array_max(F.transform("table_rows", F.size))
+        padded = F.transform("table_rows", lambda r: F.concat(F.transform(r, tx.clean), F.array_repeat(F.lit(""), wide - F.size(r))))
+        kept = tables.where((F.size("table_rows") > 1) & (wide > 1)).join(last, ["source_id", "page_num"], "left")
+        kept = kept.withColumn("heading_path", F.coalesce("_last", F.array().cast("array<string>"))).withColumn("table_rows", padded)
+        found = found.unionByName(shape(kept, 1, "table_no", F.lit("table"), F.lit(""), F.col("table_rows")))
+    order = Window.partitionBy("source_id").orderBy("page_num", "_place", "_number")
+    return found.select(
         "source_id",
         (F.row_number().over(order) - 1).cast("bigint").alias("pos"),
-        F.when(F.col("level").isNotNull(), "heading").otherwise("text").alias("kind"),
+        "kind",
         "text",
         "heading_path",
         F.col("page_num").cast("int").alias("page_num"),
-        F.lit(None).cast("array<array<string>>").alias("table_rows"),
+        "table_rows",
     )
+
+
+def read_files(files: DataFrame, reader: Reader = pdf_reader.read) -> DataFrame:
+    """Spans, tables and errors of PDF files (``source_id, content``): rows whose ``text``, ``table_rows`` or ``error`` is set."""
+    schema = "source_id string, page_num int, block_no int, span_no int, text string, size double, table_rows array<array<string>>, error string"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def rows(source_id: str, content: bytes | None) -> list[tuple]:
+        try:
+            pages = reader(bytes(content or b""))
+        except Exception as e:  # an error is data: the file's row says so
+            return [(source_id, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
+        spans = [(source_id, n, *span, None, None) for n, page in enumerate(pages, 1) for span in page.spans]
+        return spans + [(source_id, n, k, None, None, None, table, None) for n, page in enumerate(pages, 1) for k, table in enumerate(page.tables)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source_id, content in zip(batch["source_id"], batch["content"], strict=True):
+                frame = pd.DataFrame(rows(source_id, content), columns=names)
+                yield frame.astype({"page_num": "Int32", "block_no": "Int32", "span_no": "Int32"})
+
+    return files.select(F.col("source_id").cast("string").alias("source_id"), "content").mapInPandas(run, schema)
+
+
+def file_blocks(read: DataFrame) -> DataFrame:
+    """Blocks of files from what ``read_files`` gave, stored so that files are read once; one that could not be read is a row of kind ``error``."""
+    spans = read.where("text is not null")
+    tables = read.where("table_rows is not null").withColumnRenamed("block_no", "table_no")
+    failed = read.where("error is not null").select(
+        "source_id", F.lit(0).cast("bigint").alias("pos"), F.lit("error").alias("kind"), F.col("error").alias("text"),
+        F.array().cast("array<string>").alias("heading_path"), F.lit(None).cast("int").alias("page_num"), "table_rows",
+    )
+    return span_blocks(spans, tables).unionByName(failed)

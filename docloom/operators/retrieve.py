@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from docloom.config import SETTINGS, VOCABULARY, Settings, Vocabulary
 from docloom.functions import text as tx
 
 from .embed import Embedder, embed
 
-#: Bytes of queries that are sent to every task; more of them are shuffled.
+#: Bytes of queries that are sent to every task at once.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -30,24 +37,103 @@ def resolve(questions: DataFrame, column: str = "question", vocabulary: Vocabula
     )
 
 
-def admits(want_scheme: Column, want_plan: Column, scheme: Column, plan: Column) -> Column:
-    """Metadata filter: the scheme named, and the plan named or documents of no plan; nothing named, no filter."""
-    return (want_scheme.isNull() | (scheme == want_scheme)) & (want_plan.isNull() | plan.isin("n_a") | (plan == want_plan))
-
-
-def dot(a: Column, b: Column) -> Column:
-    """Inner product in doubles."""
-    wide = lambda c: c.cast("array<double>")
-    return F.aggregate(F.zip_with(wide(a), wide(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 if either vector is zero."""
-    return F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+@dataclass(frozen=True)
+class Match:
+    """A pair is admitted if the query states nothing, or the vector's value is what it states or is for all; or, turned, if it is not."""
+
+    query_col: str
+    vector_col: str
+    for_all: tuple = ()
+    differs: bool = False
+
+    def column(self) -> Column:
+        want, own = F.col(self.query_col), F.col(self.vector_col)
+        if self.differs:
+            return want != own
+        return want.isNull() | own.isin(*self.for_all) | (own == want) if self.for_all else want.isNull() | (own == want)
+
+    def mask(self, want: Sequence, own: Sequence) -> np.ndarray:
+        """Admitted pairs, a row for each query."""
+        names: dict = {}
+        codes = lambda values: np.array([-1 if v is None else names.setdefault(v, len(names)) for v in values], np.int64)
+        w, o = codes(want)[:, None], codes(own)[None, :]
+        if self.differs:
+            return (w != o) & (w >= 0) & (o >= 0)
+        everywhere = np.array([v is not None and v in self.for_all for v in own])[None, :]
+        return (w < 0) | everywhere | ((w == o) & (o >= 0))
+
+
+#: Metadata filter: the scheme named, and the plan named or documents of no plan; nothing named, no filter.
+ADMITS = (Match("want_scheme", "scheme"), Match("want_plan", "plan", ("n_a",)))
+
+
+def admits(matches: Sequence[Match] = ADMITS) -> Column:
+    """The filter as a condition on a pair's columns."""
+    return reduce(lambda a, b: a & b, (m.column() for m in matches))
+
+
+def _unit(rows: list, dim: int) -> np.ndarray:
+    """Rows scaled to length 1; a zero or missing vector stays zero."""
+    dense = np.array([r if r is not None and len(r) == dim else [0.0] * dim for r in rows], np.float64).reshape(len(rows), dim)
+    length = np.linalg.norm(dense, axis=1, keepdims=True)
+    return np.divide(dense, length, out=np.zeros_like(dense), where=length > 0)
+
+
+class _Best:
+    """The ``k`` best vectors of each query so far, best first; equal scores go by the vector's id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.rows = k, None
+        self.found: list[list[tuple[float, object, int]]] = [[] for _ in range(queries)]
+
+    def add(self, batch: pa.RecordBatch, ids: list, scores: np.ndarray, mask: np.ndarray | None) -> None:
+        base = self.rows.num_rows if self.rows is not None else 0
+        taken: dict[int, int] = {}
+        for q, own in enumerate(self.found):
+            value = scores[q] if mask is None else np.where(mask[q], scores[q], -np.inf)
+            floor = own[-1][0] if len(own) == self.k else -np.inf
+            at = np.nonzero((value >= floor) & (value > -np.inf))[0]
+            if len(at) > self.k:
+                # Everything as good as the k-th: ties are settled by ids below.
+                at = at[value[at] >= np.partition(value[at], len(at) - self.k)[len(at) - self.k]]
+            new = [(float(value[i]), ids[i], base + taken.setdefault(int(i), len(taken))) for i in at.tolist()]
+            self.found[q] = sorted(own + new, key=lambda x: (-x[0], x[1]))[: self.k]
+        if taken:
+            some = pa.Table.from_batches([batch]).take(list(taken))
+            self.rows = some if self.rows is None else pa.concat_tables([self.rows, some])
+            kept = sorted({place for own in self.found for _, _, place in own})
+            moved = {place: n for n, place in enumerate(kept)}
+            self.rows = self.rows.take(kept).combine_chunks()
+            self.found = [[(x, i, moved[place]) for x, i, place in own] for own in self.found]
+
+
+def _scan(vectors: DataFrame, asked: pa.Table, k: int, query_vector: str, vector_id: str, vector: str, matches: Sequence[Match]) -> DataFrame:
+    """The best ``k`` of each partition of ``vectors`` for the queries ``asked``, which go to every task."""
+    spark = vectors.sparkSession
+    given = asked.column(query_vector).to_pylist()
+    dim = max((len(v) for v in given if v is not None), default=0)
+    told = asked.drop_columns([query_vector])
+    shared = spark.sparkContext.broadcast((_unit(given, dim), told))
+    kept = [c for c in vectors.columns if c != vector]
+    schema = T.StructType([f for f in from_arrow_schema(told.schema)] + [f for f in vectors.schema.fields if f.name != vector]).add("score", T.DoubleType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, queries = shared.value
+        best = _Best(len(wanted), k)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 4096):
+                batch = whole.slice(first, 4096)
+                # Rounded, so that equal vectors have equal scores wherever they stand in a block.
+                scores = np.round(wanted @ _unit(batch.column(vector).to_pylist(), dim).T, 12)
+                masks = [m.mask(queries.column(m.query_col).to_pylist(), batch.column(m.vector_col).to_pylist()) for m in matches]
+                best.add(batch.select(kept), batch.column(vector_id).to_pylist(), scores, reduce(np.logical_and, masks) if masks else None)
+        if best.rows is not None:
+            pairs = [(q, place, score) for q, own in enumerate(best.found) for score, _, place in own]
+            who, rows = queries.take([q for q, _, _ in pairs]), best.rows.take([p for _, p, _ in pairs])
+            table = pa.table([*who.columns, *rows.columns, pa.array([s for *_, s in pairs], pa.float64())], [*who.column_names, *kept, "score"])
+            yield from table.combine_chunks().to_batches()
+
+    return vectors.mapInArrow(run, schema)
 
 
 def top_k(
@@ -58,28 +144,30 @@ def top_k(
     query_vector: str = "query_vector",
     vector_id: str = "vec_id",
     vector: str = "embedding",
-    condition: Column | None = None,
+    matches: Sequence[Match] = (),
 ) -> DataFrame:
-    """The ``k`` nearest vectors of each query, exactly: ``query_id, vec_id, score, rank`` and the vectors' other columns.
-
-    Queries are a stated set that meets all vectors in blocks. Each vector
-    scores against the queries where it lies and only the best ``k`` per query
-    and task leave it, by the row-number limit that Spark pushes below its
-    shuffle. Queries go to every task while they are small enough; the size is
-    taken from their plan, and above it they are joined without that hint.
+    """The ``k`` nearest vectors of each query by cosine, exactly: the queries' and vectors' other columns, ``score`` and ``rank``.
+
+    Queries are a stated set that meets all vectors in blocks: a block of
+    vectors times the queries is one product of matrices where the vectors lie,
+    and only the best ``k`` per query leave a task. ``matches`` limit the pairs
+    before the best are taken. Queries beyond ``BROADCAST_BYTES`` are dealt by a
+    hash into sets under that size; each makes a pass over the vectors, so no
+    more of them are in memory at once. A zero vector is like nothing.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    size = int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    asked = queries.select(*queries.columns).withColumn("_qn", norm(F.col(query_vector)))
-    small = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
-    scored = vectors.withColumn("_vn", norm(F.col(vector)))
-    on = condition if condition is not None else F.lit(True)
-    pairs = scored.join(small, on, "inner")
-    score = F.coalesce(F.try_divide(dot(F.col(query_vector), F.col(vector)), F.col("_qn") * F.col("_vn")), F.lit(0.0))
-    pairs = pairs.withColumn("score", score).drop("_qn", "_vn", query_vector, vector)
+    asked = queries.drop(*(c for c in queries.columns if c in vectors.columns))
+    dim = asked.agg(F.count("*"), F.max(F.size(query_vector))).first()
+    passes = 1 + dim[0] * (8 * max(dim[1] or 0, 1) + 256) // BROADCAST_BYTES
+    found = None
+    for number in range(passes):
+        own = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == number)
+        part = _scan(vectors, own.toArrow(), k, query_vector, vector_id, vector, matches)
+        part = part if passes == 1 else part.checkpoint()
+        found = part if found is None else found.unionByName(part)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(vector_id)))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def above(hits: DataFrame, floor: float) -> DataFrame:
@@ -112,7 +200,6 @@ def rerank(hits: DataFrame, question: str, body: str, query_id: str, hit_id: str
 def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, settings: Settings = SETTINGS, vocabulary: Vocabulary = VOCABULARY, threshold: float | None = None) -> DataFrame:
     """Hits for ``questions`` (``query_id, question``) from an index's vectors, best first by ``rank``."""
     asked = embed(resolve(questions.select("query_id", "question"), vocabulary=vocabulary), "question", embedder, out="query_vector")
-    admit = admits(F.col("want_scheme"), F.col("want_plan"), F.col("scheme"), F.col("plan"))
-    found = top_k(asked, index, settings.top_k, vector_id="chunk_id", condition=admit)
+    found = top_k(asked, index, settings.top_k, vector_id="chunk_id", matches=ADMITS)
     kept = above(found, settings.similarity_threshold if threshold is None else threshold)
     return rerank(kept, "question", "document", "query_id", "chunk_id", settings.lexical_rerank_weight)

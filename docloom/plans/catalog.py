@@ -23,12 +23,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import queries as _registered  # noqa: F401
+    from . import documents, queries  # noqa: F401
+
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import queries as _registered  # noqa: F401
+    queries()
     return _SQL
 
 

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.config import SETTINGS, VOCABULARY, Settings, Vocabulary
-from docloom.operators import chunk, embed, embedded, extract_html, index, normalize
-from docloom.sources import fetch, files, manifest
+from docloom.operators import chunk, embed, embedded, extract_html, index, normalize, pdf
+from docloom.sources import fetch, files, manifest, pdf_reader
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Blocks of fetched pages (``source_id, html``): embedded JSON first, then the page, stripped text where both are silent."""
+def extract(pages: DataFrame, sources: DataFrame, vocabulary: Vocabulary = VOCABULARY) -> DataFrame:
+    """Blocks of fetched pages (``source_id, html``): embedded JSON first, then the page, stripped text where both are silent.
+
+    ``sources`` tells the scheme, plan and document type of each.
+    """
     walked = extract_html.page_blocks(pages, "source_id")
-    found = embedded.merge_stages(embedded.embedded_blocks(pages, "source_id"), walked)
+    found = embedded.merge_stages(embedded.embedded_blocks(pages, sources, "source_id", vocabulary=vocabulary), walked)
     return extract_html.fallback_blocks(pages, found, "source_id")
 
 
@@ -35,11 +38,14 @@ def build(
     force: bool = False,
     prune: bool = True,
     wait=None,
+    pdf_reader: pdf.Reader = pdf_reader.read,
 ) -> index.Ingested | None:
     """Bring everything under ``root`` up to the manifest; each stage is a table, so a stopped run goes on where it was.
 
     ``only_fetch`` stops after fetching, ``only_embed`` starts from the chunks
-    that are there, ``force`` embeds all again.
+    that are there, ``force`` embeds all again. PDF files go through
+    ``pdf_reader``; pages and files that cannot be read are rows of kind
+    ``error`` in the blocks' table.
     """
     root = root.rstrip("/")
     sources = manifest.load(spark, manifest_path, vocabulary=vocabulary)
@@ -58,9 +64,13 @@ def build(
         pages = latest.join(enabled.select("source_id", "doc_type", "is_pdf"), "source_id").select(
             "source_id", F.col("last.content").alias("content"), F.col("last.content_hash").alias("content_hash"), "fetched_at", "doc_type"
         )
-        html = pages.where(extract_html.dispatch(F.col("content"), F.col("doc_type")) == "html").withColumn("html", F.decode("content", "UTF-8"))
-        files.write_blocks(extract(html.select("source_id", "html")), f"{root}/blocks")
-        raw = spark.read.parquet(f"{root}/blocks")
+        kind = extract_html.dispatch(F.col("content"), F.col("doc_type"))
+        html = pages.where(kind == "html").select("source_id", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+        printed = pages.where(kind == "pdf").select("source_id", "content")
+        files.write_blocks(pdf.read_files(printed, pdf_reader), f"{root}/spans")
+        files.write_blocks(extract(html, enabled, vocabulary).unionByName(pdf.file_blocks(spark.read.parquet(f"{root}/spans"))), f"{root}/blocks")
+        # What could not be read stays in the blocks' table and goes no further.
+        raw = spark.read.parquet(f"{root}/blocks").where("kind <> 'error'")
         files.write_blocks(normalize.normalize_blocks(raw), f"{root}/normalized")
         blocks = preferred(spark.read.parquet(f"{root}/normalized"), raw)
         info = enabled.join(pages.select("source_id", "fetched_at"), "source_id", "left")

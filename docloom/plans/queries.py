@@ -9,7 +9,7 @@ from docloom.config import Settings, Vocabulary
 from docloom.functions import guardrails as gr
 from docloom.functions import text as tx
 from docloom.functions import urls
-from docloom.operators import answer, chunk, embed, embedded, evaluate, extract_html, index, memory, normalize, retrieve
+from docloom.operators import answer, chunk, embed, embedded, evaluate, extract_html, index, memory, normalize, pdf, retrieve, tables
 from docloom.sources import files, manifest
 from docloom.streaming import sessions
 
@@ -46,7 +46,7 @@ def embedding_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metadata filter comes before the search."""
     v = table(spark, sf_dir, "embeddings")
-    hits = retrieve.top_k(_vector_queries(v), v, 12, condition=F.col("q_label") == F.col("label"))
+    hits = retrieve.top_k(_vector_queries(v), v, 12, matches=(retrieve.Match("q_label", "label"),))
     return hits.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -97,12 +97,9 @@ def _lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def lexical_idf_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Re-ranking by words that are rare among a question's own hits."""
-    hits = _lexical_hits(spark, sf_dir).withColumnRenamed("rank", "place")
-    lex = retrieve.lexical_scores(hits, "question", "body", "query_id", "doc_id")
-    both = hits.join(lex, ["query_id", "doc_id"])
-    # Sums in another order differ in their last bits: compared to nine digits, ties go by place.
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("score") + 0.15 * F.col("lexical"), 9)), F.desc(F.round("score", 9)), "place")
-    return both.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.round("lexical", 4).alias("lexical"), F.row_number().over(order).alias("rank"))
+    hits = _lexical_hits(spark, sf_dir)
+    ranked = retrieve.rerank(hits, "question", "body", "query_id", "doc_id", 0.15)
+    return ranked.select("query_id", "doc_id", F.round("score", 4).alias("score"), F.round("lexical", 4).alias("lexical"), "rank")
 
 
 @query(_TERMS + "z AS (SELECT 1) SELECT query_id, doc_id, round(score, 4) AS overlap FROM h")
@@ -121,10 +118,8 @@ _GOLD = _PAIRS.format(on="query_id <> vec_id") + """,
 def _probe_results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
     asked = _vector_queries(v)
-    hits = retrieve.top_k(asked, v, 5, condition=F.col("query_id") != F.col("vec_id"))
-    members = v.groupBy("label").agg(F.collect_list("vec_id").alias("chunk_ids"))
-    gold = asked.join(members, asked.q_label == members.label).select("query_id", "chunk_ids")
-    return evaluate.recall(hits, gold, 5, hit_id="vec_id"), hits
+    hits = retrieve.top_k(asked, v, 5, matches=(retrieve.Match("query_id", "vec_id", differs=True),))
+    return evaluate.found_gold(hits, asked, 5, F.col("q_label") == F.col("label")), hits
 
 
 @query(_GOLD + "SELECT query_id, found, first_rank, round(matched_score, 4) AS matched_score FROM e")
@@ -187,11 +182,35 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", files.content_hash(tx.text_of("html")).alias("content_hash"), F.length(tx.text_of("html")).alias("n_chars"), extract_html.title_of_page(F.col("html")).alias("title"))
 
 
-@query()
+def _page_sources(pages: DataFrame) -> DataFrame:
+    """What a manifest would say of the pages."""
+    return pages.select(F.col("page_id").cast("string").alias("source_id"), F.lit("elss").alias("scheme"), F.lit("n_a").alias("plan"), F.lit("third_party").alias("doc_type"))
+
+
+#: Text of a piece of markup: its tags cut it into pieces, which are stripped and joined; entities of these pages are few.
+_PLAIN = r"""trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(regexp_replace({c}, '<[^>]*>', chr(1), 'g'), chr(1)), lambda x:
+    regexp_replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '[ \t]+', ' ', 'g'))"""
+
+
+@query(r"""
+    WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
+                      regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article FROM pages),
+    t AS (SELECT *, {article} AS whole, regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1) AS h1 FROM a),
+    parts AS (SELECT page_id, 0 AS place, 0 AS n, 'text' AS kind, {title} AS text FROM t
+        UNION ALL SELECT page_id, 1, 0, 'text', {ad} FROM t
+        UNION ALL SELECT page_id, 2, 0, 'text', whole FROM t WHERE length(whole) <= 4000
+        UNION ALL SELECT page_id, 2, 0, CASE WHEN length({h1}) <= 120 THEN 'heading' ELSE 'text' END, {h1} FROM t WHERE length(whole) > 4000
+        UNION ALL SELECT page_id, 3, n, 'text', {p} FROM (SELECT page_id, whole, unnest(string_split(article, '<p>')) AS p, generate_subscripts(string_split(article, '<p>'), 1) AS n FROM t) WHERE length(whole) > 4000 AND n > 1),
+    said AS (SELECT * FROM parts WHERE length(text) >= 2 AND regexp_matches(text, '[A-Za-z0-9]')),
+    h AS (SELECT page_id, max(text) FILTER (kind = 'heading') AS heading FROM said GROUP BY 1)
+    SELECT s.page_id::VARCHAR AS source_id, 4294967296 + row_number() OVER (PARTITION BY s.page_id ORDER BY place, n) - 1 AS pos, kind, text,
+           CASE WHEN heading IS NOT NULL AND place >= 2 THEN to_json([heading])::VARCHAR ELSE '[]' END AS heading_path, NULL::VARCHAR AS table_rows
+    FROM said s JOIN h USING (page_id)""".replace("{article}", _PLAIN.format(c="article")).replace("{title}", _PLAIN.format(c="title")).replace("{ad}", _PLAIN.format(c="ad"))
+    .replace("{h1}", _PLAIN.format(c="h1")).replace("{p}", _PLAIN.format(c="p")))
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of all pages, those embedded as JSON first."""
     p = table(spark, sf_dir, "pages")
-    found = embedded.merge_stages(embedded.embedded_blocks(p), extract_html.page_blocks(p))
+    found = embedded.merge_stages(embedded.embedded_blocks(p, _page_sources(p)), extract_html.page_blocks(p))
     return found.select("source_id", "pos", "kind", "text", F.to_json("heading_path").alias("heading_path"), F.to_json("table_rows").alias("table_rows"))
 
 
@@ -252,18 +271,27 @@ def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.violations(rows).select("page_id", F.array_join(told, "; ").alias("violations"))
 
 
-@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2")
-def counts_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Group counts."""
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+@query("SELECT source, count(*) AS n FROM documents GROUP BY 1")
+def counts_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group counts, a source being a scheme."""
+    return manifest.counts_by_scheme(table(spark, sf_dir, "documents").withColumnRenamed("source", "scheme")).withColumnRenamed("scheme", "source")
 
 
-@query("SELECT source, count(*) AS block_count, sum(length(coalesce(text, ''))) AS char_count, count(*) FILTER (regexp_matches(text, '[0-9]')) AS with_digits, max(length(text)) AS longest FROM documents GROUP BY 1")
+@query("""
+    SELECT source, count(*) AS block_count, sum(length(coalesce(text, ''))) AS char_count, count(*) FILTER (doc_id % 7 = 0) AS table_count,
+           max(coalesce(doc_id % 5, 0)) AS page_count, bool_or(contains(lower(coalesce(text, '')), 'benchmark') OR contains(lower(coalesce(text, '')), 'lock in')
+           OR contains(lower(coalesce(text, '')), 'exit load') OR doc_id % 7 = 0 AND doc_id % 49 = 0) AS facts
+    FROM documents GROUP BY 1""")
 def doc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile of each source."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count("*").alias("block_count"), F.sum(F.length(tx.text_of("text"))).alias("char_count"), F.count_if(F.col("text").rlike("[0-9]")).alias("with_digits"), F.max(F.length("text")).alias("longest")
-    )
+    """Profile of each source's documents taken as blocks; every seventh is a table, some of which state a fact."""
+    docs = table(spark, sf_dir, "documents")
+    cells = F.array(F.array(F.lit("Riskometer"), F.when(F.col("doc_id") % 49 == 0, "high").otherwise("")))
+    rows = F.when(F.col("doc_id") % 7 == 0, F.when(F.col("doc_id") % 49 == 0, cells).otherwise(F.array(F.array(F.lit("a"), F.lit("b")))))
+    blocks = docs.select(
+        F.col("source").alias("source_id"), F.when(F.col("doc_id") % 7 == 0, "table").otherwise("text").alias("kind"), "text",
+        (F.col("doc_id") % 5).alias("page_num"), rows.alias("table_rows"),
+    )
+    return extract_html.profile(blocks).withColumnRenamed("source_id", "source")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN (CASE WHEN length(coalesce(d.text, '')) > 0 THEN 'ok' ELSE 'fetch_failed' END) WHEN l.quality = 1 THEN 'ok' ELSE 'fetch_failed' END AS fetch_status FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -291,8 +319,7 @@ def enabled_and_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, event_type AS mode FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) = 1""")
 def first_seen_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mode of each group, the first seen of equally frequent values."""
-    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("seen"))
-    return counts.groupBy("user_id").agg(F.max_by("event_type", F.struct("n", -F.col("seen"))).alias("mode"))
+    return pdf.first_seen_mode(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.col("event_id")).withColumnRenamed("event_type", "mode")
 
 
 # -- normalization ---------------------------------------------------------------------------------
@@ -450,8 +477,9 @@ def sections_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, contains(lower(html), lower(regexp_extract(url, '^[^:/?#]+://([^/?#:.]*)', 1))) AS identifies FROM pages")
 def page_identifies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a page names the first part of its host."""
-    return table(spark, sf_dir, "pages").select("page_id", F.contains(F.lower("html"), F.lower(F.regexp_extract("url", "^[^:/?#]+://([^/?#:.]*)", 1))).alias("identifies"))
+    """Whether a page names the first part of its host, taken as its scheme."""
+    host = F.lower(F.regexp_extract("url", "^[^:/?#]+://([^/?#:.]*)", 1))
+    return table(spark, sf_dir, "pages").select("page_id", chunk.identifies(F.col("html"), host).alias("identifies"))
 
 
 # -- text functions and guardrails -----------------------------------------------------------------

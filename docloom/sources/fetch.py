@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from docloom.config import SETTINGS, Settings
 from docloom.functions import urls
 
+#: Bytes of bodies that a task holds before it passes them on.
+HELD_BYTES = 32 << 20
 RETRY = {408, 425, 429, 500, 502, 503, 504}
 RESULT = (
     "source_id string, url string, status string, http_status int, byte_size bigint, content_hash string,"
@@ -82,14 +84,21 @@ def fetch_all(sources: DataFrame, transport: Transport = http, known: DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for r in batch.itertuples():
                 if r.host == last:
                     wait(settings.http_delay_s)
                 last = r.host
                 rows.append(fetch_one(r.source_id, r.url, r.pdf, transport, settings, wait))
-            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-            yield frame.astype({"http_status": "Int32"})
+                held += rows[-1][4]
+                if held >= HELD_BYTES:
+                    yield framed(rows)
+                    rows, held = [], 0
+            if rows:
+                yield framed(rows)
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"http_status": "Int32"})
 
     return asked.repartition("host").sortWithinPartitions("host", "source_id").mapInPandas(run, RESULT)
 

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root.rstrip("/") if root else "file://" + tempfile.mkdtemp(prefix="docloom-")
+
+
 def raw_files(spark: SparkSession, path: str) -> DataFrame:
     """Files under ``path`` with ``source_id`` (their folder), ``file_name``, ``length`` and ``content_hash``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import guardrails as gr
+from docloom.sources.files import scratch_root
 
 EVENT = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -75,19 +77,27 @@ def rolling_memory(turns: DataFrame, keep: int = 10) -> DataFrame:
     )
 
 
-def sessions_of_folder(spark: SparkSession, path: str, name: str = "docloom_sessions") -> DataFrame:
+def append_sessions(events: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes", late: str = "10 minutes"):
+    """Start a stream that appends sessions to a Parquet table as the watermark closes them; closed ones leave the state."""
+    closed = session_counts(events, gap, late)
+    return closed.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).start()
+
+
+def sessions_of_folder(spark: SparkSession, path: str) -> DataFrame:
     """All sessions of a folder's events table, by running the stream to its end.
 
     Output is complete and no watermark is set, so every event counts whatever
-    files it lies in and whatever order they are read in.
+    files it lies in and whatever order they are read in. Executors write each
+    batch's result to the shared folder; the last one is read back.
     """
-    query = (
-        session_counts(read_table(spark, f"{path}/events.parquet"), late=None)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .trigger(availableNow=True)
-        .start()
-    )
+    root = f"{scratch_root(spark)}/docloom-sessions-{uuid.uuid4().hex}"
+
+    def write(sessions: DataFrame, number: int) -> None:
+        sessions.write.mode("overwrite").parquet(f"{root}/batch={number}")
+
+    counted = session_counts(read_table(spark, f"{path}/events.parquet"), late=None)
+    query = counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if query.lastProgress is None:  # there was no file to read
+        return spark.createDataFrame([], counted.schema)
+    return spark.read.schema(counted.schema).parquet(f"{root}/batch={query.lastProgress['batchId']}")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from docloom.config import Settings
 from docloom.operators import embed, index
 from docloom.plans import chat, ingest
@@ -42,8 +44,33 @@ def test_build_and_chat(spark, tmp_path):
 
 def test_fallback_and_preference(spark):
     pages = spark.createDataFrame([("p", "<x"), ("q", "<table><tr><td>only 1 cell</td></tr></table>"), ("r", None)], "source_id string, html string")
-    blocks = ingest.extract(pages)
+    sources = pages.select("source_id", F.lit("elss").alias("scheme"), F.lit("n_a").alias("plan"), F.lit("third_party").alias("doc_type"))
+    blocks = ingest.extract(pages, sources)
     assert {r.source_id for r in blocks.collect()} <= {"p", "q"}
     raw = blocks.where("source_id = 'q'")
     assert ingest.preferred(raw.limit(0), raw).count() == raw.count()
     assert ingest.preferred(raw, raw).count() == raw.count()
+
+
+def test_build_reads_pdf_files_and_says_which_it_cannot(spark, tmp_path):
+    from .test_sources import ONE, pdf_file
+
+    bodies = {"https://example.com/kim.pdf": pdf_file(ONE), "https://example.com/bad.pdf": b"%PDF-1.7 broken", "https://example.com/a": PAGES["https://example.com/a"].encode() + b"<p>Latin \xe9 1</p>"}
+    path = tmp_path / "sources.csv"
+    path.write_text("\n".join([HEAD, "k,elss,n_a,kim,https://example.com/kim.pdf,true,", "x,elss,n_a,sid,https://example.com/bad.pdf,true,", "a,large_cap,direct,third_party,https://example.com/a,true,"]) + "\n")
+    send = lambda url, timeout: fetch.Response(200, "application/pdf" if url.endswith("pdf") else "text/html", bodies[url])
+    root = str(tmp_path / "root")
+    done = ingest.build(spark, str(path), root, transport=send, embedder=embed.HashingEmbedder(16), settings=Settings(http_delay_s=0.0), wait=lambda s: None)
+    assert done.added == 2
+    kinds = {(r.source_id, r.kind) for r in spark.read.parquet(f"{root}/blocks").collect()}
+    assert {("k", "heading"), ("k", "table"), ("k", "text"), ("x", "error")} <= kinds and ("x", "text") not in kinds
+    texts = [r.text for r in spark.read.parquet(f"{root}/chunks").where("source_id = 'k'").collect()]
+    assert "Latin \ufffd 1" in {r.text for r in spark.read.parquet(f"{root}/blocks").collect()}
+    assert any("Fund: Load" in t or "Big: 1%" in t for t in texts)
+
+    def other(data):
+        raise ValueError("no reader here")
+
+    ingest.build(spark, str(path), str(tmp_path / "again"), transport=send, embedder=embed.HashingEmbedder(16), settings=Settings(http_delay_s=0.0), wait=lambda s: None, pdf_reader=other)
+    told = spark.read.parquet(str(tmp_path / "again/blocks")).where("kind = 'error'").collect()
+    assert {r.source_id for r in told} == {"k", "x"} and all("no reader here" in r.text for r in told)

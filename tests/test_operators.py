@@ -149,23 +149,77 @@ def push(payload):
     return "<script>self.__next_f.push(" + json.dumps([1, "1:" + json.dumps(payload)]) + ")</script>"
 
 
-def test_embedded_facts_cards_faqs():
-    html = push({"schemeName": "Big Fund", "planType": "Direct", "expenseRatio": "0.5%", "nested": [{"expenseRatio": "9%", "exitLoad": "<ul><li>a</li><li>b</li></ul>"}], "minimumInvestment": {"lumpsum": "100", "sip": "-"}})
-    facts = embedded.facts_of(html)
-    assert facts == {"Scheme name": "Big Fund", "Plan type": "Direct", "Expense ratio": "0.5%", "Exit load": "a | b", "Minimum investment - Lump sum": "100"}
-    assert embedded.fact_rows(facts)[0][0] == "Big Fund (Direct plan) - key facts" and embedded.fact_rows({}) == []
-    faq = '<script id="json-ld-faqsSchema">' + json.dumps({"mainEntity": [{"name": "Q?", "acceptedAnswer": {"text": "A."}}, {"name": "", "acceptedAnswer": {"text": "x"}}]}) + "</script>"
-    assert embedded.faqs_of(faq) == [("Q?", "A.")]
-    cards = push({"title": "x", "items": [{"title": "Card", "description": "Does it", "link": "/l"}, {"title": "Card", "description": "Does it", "link": "/m"}]})
-    assert embedded.cards_of(cards) == [("Card", "Does it", "/l")]
-    assert embedded.tax_rows(push({"taxImplication": [{"title": "t", "description": "d"}]})) == [("t", "d")]
-    assert embedded.facts_of("<script>expenseRatio(broken</script>") == {} and embedded.faqs_of("") == []
-
-
-def test_embedded_blocks(spark):
-    pages = spark.createDataFrame([(1, push({"expenseRatio": "1%"})), (2, None)], "page_id bigint, html string")
-    rows = embedded.embedded_blocks(pages).collect()
-    assert [(r.source_id, r.kind, r.table_rows[1]) for r in rows] == [("1", "table", ["Expense ratio", "1%"])]
+FUND = {
+    "schemeName": "Big Fund", "planType": "Direct", "expenseRatio": "0.92", "exitLoad": "No exit load after 1 week", "benchmark": "BROAD 100", "riskType": "Very High", "sip": "100.0",
+    "schemeDescription": "A saving scheme with a statutory lock in of 3 years", "aum": "N/A",
+    "minimumInvestment": {"lumpsum": 500, "sip": "500.0", "sipDaily": "500.0", "additionalInvestment": "-"},
+    "riskometerDetails": {"riskDescription": "<ul><li>Growth over time.</li></ul>", "benchmark": "BROAD 500", "benchmarkRiskStatus": "Very High"},
+}
+
+
+def test_facts():
+    facts = embedded.facts_of(push(FUND))
+    assert facts == {
+        "Lump sum": "500", "SIP": "500.0", "Daily SIP": "500.0", "Benchmark index": "BROAD 500", "Benchmark risk status": "Very High", "Risk profile": "Growth over time.",
+        "Scheme name": "Big Fund", "Plan type": "Direct", "Expense ratio": "0.92", "Exit load": "No exit load after 1 week", "Benchmark": "BROAD 100", "Riskometer category": "Very High",
+        "Minimum SIP": "100.0", "Scheme description": "A saving scheme with a statutory lock in of 3 years",
+    }
+    rows = embedded.fact_rows(facts, "Big Fund", "Direct")
+    assert rows[0] == ["Big Fund (Direct plan) - key facts", ""] and ["Expense ratio", "0.92"] in rows and all(len(r) == 2 for r in rows)
+    assert embedded.fact_rows({}, "x", "Direct") == []
+    # Of flat facts the first stays, of grouped ones the last; a payload that names no ratio and no riskometer is not read.
+    twice = embedded.facts_of(push({"expenseRatio": "1", "a": [{"expenseRatio": "2", "minimumInvestment": {"sip": "5"}}, {"minimumInvestment": {"sip": "6"}}]}))
+    assert twice == {"Expense ratio": "1", "SIP": "6", "Minimum SIP": "5"}  # a group's keys are read as flat ones too
+    assert embedded.facts_of(push({"exitLoad": "1%"})) == {}
+    assert embedded.facts_of("<script>expenseRatio(broken</script>") == {} == embedded.facts_of("<p>nothing here</p>")
+
+
+@pytest.mark.parametrize("value, told", [("<ul><li>alpha</li><li>beta</li></ul>", "alpha | beta"), ("plain  text", "plain text"), ("| a|b |", "a | b"), ("a || b", "a |  | b"), (7, "7"), (" | ", "")])
+def test_plain(value, told):
+    assert embedded.plain(value) == told
+
+
+@pytest.mark.parametrize("value, said", [("0.92", True), (0, True), ("N/A", False), ("null", False), ("", False), ("   ", False), ({"a": 1}, False), ([1], False), (None, False)])
+def test_usable(value, said):
+    assert embedded.usable(value) is said
+
+
+def test_faqs_tax_rows_and_cards():
+    asked = {"mainEntity": [{"name": "What <b>is</b> it?", "acceptedAnswer": {"text": "A fund."}}, {"name": "", "acceptedAnswer": {"text": "x"}}, {"name": "No answer", "acceptedAnswer": "text"}, 5]}
+    faq = '<script type="application/ld+json" id="json-ld-faqsSchema">' + json.dumps(asked) + "</script>"
+    assert embedded.faqs_of(faq) == [("What | is | it?", "A fund.")] and embedded.faqs_of("<html>") == [] and embedded.faqs_of(faq.replace("{", "", 1)) == []
+    taxed = {"expenseRatio": "1", "late": {"taxImplication": [{"title": "t", "description": "<i>d</i>"}, {"title": "t2"}]}, "later": {"taxImplication": []}, "last": {"taxImplication": [{"title": " ", "description": "blank"}]}}
+    assert embedded.tax_rows(push(taxed)) == [["t", "d"]] and embedded.tax_rows(push(FUND)) == []
+    card = {"title": "Card", "description": "Does <b>it</b>"}
+    for key in ("link", "linkOne", "linkTwo", "postLogin", "webpIcon", "icon", "mobileEnabled"):
+        assert len(embedded.cards_of(push({"deep": [{"er": card | {key: "/l"}}]}))) == 1
+    for key in ("image", "ctaText", "name"):
+        assert embedded.cards_of(push([card | {key: "/l"}])) == []
+    assert embedded.cards_of(push({"a": [card | {"linkOne": "/1"}], "b": [card | {"link": "/2"}]})) == [("Card", "Does | it", "/1")]
+
+
+def test_payloads_at_any_depth_and_unreadable_ones(spark):
+    deep = push(["x"]).replace("x", "[" * 400 + "]" * 400)
+    assert embedded.cards_of(push(json.loads("[" * 300 + json.dumps({"title": "t", "description": "d", "icon": ""}) + "]" * 300))) == [("t", "d", "")]
+    hopeless = "<script>self.__next_f.push([1, " + json.dumps('1:{"expenseRatio": ' + "[" * 200_000 + "]" * 200_000 + "}") + "])</script>"
+    assert embedded.facts_of(deep) == {}
+    pages = spark.createDataFrame([(1, push({"expenseRatio": "1%"})), (2, None), (3, hopeless)], "page_id bigint, html string")
+    sources = spark.createDataFrame([(k, "elss", "direct", "downloads") for k in "123"], "source_id string, scheme string, plan string, doc_type string")
+    rows = embedded.embedded_blocks(pages, sources).collect()
+    assert [(r.source_id, r.table_rows) for r in rows if r.kind == "table"] == [("1", [["ELSS Tax Saver Fund (Direct plan) - key facts", ""], ["Expense ratio", "1%"]])]
+    assert {(r.source_id, r.kind) for r in rows if r.source_id != "1"} == {("3", "error")} and all("nested too deeply" in r.text for r in rows if r.kind == "error")
+
+
+def test_long_texts_come_in_blocks():
+    """Items, bare texts and paragraphs longer than a block lose nothing."""
+    sentence = "Some words that go on for a while. "
+    long = (sentence * 400).strip()
+    for html, kind in ((f"<ul><li>{long}</li></ul>", "list"), (long, "text"), (f"<p>{long}</p>", "text"), (f"<div><span>{'x' * 9000}</span></div>", "text")):
+        found = extract_html.blocks_of(html)
+        whole = long if "x" * 9 not in html else "x" * 9000
+        assert len(found) > 1 and {b["kind"] for b in found} == {kind} and all(len(b["text"]) <= extract_html.MAX_BLOCK for b in found)
+        assert "".join("".join(b["text"] for b in found).split()) == "".join(whole.split())
+    assert all(b["text"].endswith(".") for b in extract_html.blocks_of(long))
 
 
 def test_pdf_spans(spark):
@@ -180,6 +234,68 @@ def test_pdf_spans(spark):
     ]
 
 
+def test_pdf_tables_follow_their_page(spark):
+    spans = spark.createDataFrame([("d", 1, 0, 0, "BIG TITLE", 18.0), ("d", 1, 1, 0, "some prose", 10.0), ("d", 2, 0, 0, "more prose", 10.0)], "source_id string, page_num int, block_no int, span_no int, text string, size double")
+    tables_ = spark.createDataFrame([("d", 1, 0, [["a ", "b"], ["1"]]), ("d", 1, 1, [["lone row", "x"]]), ("d", 3, 0, [["c", "d"], ["e", "f"]])], "source_id string, page_num int, table_no int, table_rows array<array<string>>")
+    found = [(r.pos, r.kind, r.text, r.heading_path, r.page_num, r.table_rows) for r in pdf.span_blocks(spans, tables_).orderBy("pos").collect()]
+    assert found == [
+        (0, "heading", "BIG TITLE", ["BIG TITLE"], 1, None), (1, "text", "some prose", ["BIG TITLE"], 1, None), (2, "table", "", ["BIG TITLE"], 1, [["a", "b"], ["1", ""]]),
+        (3, "text", "more prose", [], 2, None), (4, "table", "", [], 3, [["c", "d"], ["e", "f"]]),
+    ]
+
+
+def test_split_keeps_words_apart():
+    """Where a long unit was cut at weaker separators, what follows it is not glued to it."""
+    for size, overlap in ((30, 0), (30, 12), (60, 20)):
+        text = "\n\n".join(f"Part {k} has words, then more. And {'some ' * (k % 9)}end." for k in range(20))
+        assert " ".join(" ".join(chunk.split_text(text, size, overlap)).split()) == " ".join(text.split())
+
+
+def test_top_k_of_many_queries_in_passes(spark, monkeypatch):
+    """Ties by id, filters before the search, zero vectors, and more queries than one pass takes."""
+    import random
+
+    rng = random.Random(3)
+    vectors = [(k, [float(rng.randint(-2, 2)) for _ in range(6)], f"s{k % 3}", "n_a" if k % 4 == 0 else f"p{k % 2}") for k in range(300)] + [(900, None, "s1", "p1")]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, scheme string, plan string").repartition(7)
+    asked = [(q, [float(rng.randint(-2, 2)) for _ in range(6)], [None, "s0", "s1"][q % 3], [None, "p0"][q % 2]) for q in range(20)]
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>, want_scheme string, want_plan string")
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+
+    def cosine(a, b):
+        return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if b and dot(a, a) * dot(b, b) else 0.0
+
+    want = set()
+    for q, qv, scheme, plan in asked:
+        fit = [(-round(cosine(qv, v), 12), k) for k, v, s, p in vectors if scheme in (None, s) and (plan is None or p in (plan, "n_a"))]
+        want |= {(q, k, r) for r, (_, k) in enumerate(sorted(fit)[:5], 1)}
+    for size in (32 << 20, 2000):
+        monkeypatch.setattr(retrieve, "BROADCAST_BYTES", size)
+        found = retrieve.top_k(queries, df, 5, matches=retrieve.ADMITS)
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == want
+        joined = queries.join(df, retrieve.admits()).select("query_id", "vec_id").count()
+        assert joined == retrieve.top_k(queries, df, 1000, matches=retrieve.ADMITS).count()
+    assert retrieve.top_k(queries.limit(0), df, 5).count() == 0 == retrieve.top_k(queries, df.limit(0), 5).count()
+
+
+def test_verify_reads_compatibility_forms_and_own_suffixes(spark):
+    told = lambda body, context, **more: spark.range(1).select(gr.verify(F.lit(body), F.array(F.lit(context)), F.lit("FACTUAL"), F.lit(None).cast("string"), F.array().cast("array<string>"), **more).alias("v")).first().v
+    assert told("It is \uff15\uff10\uff10.", "Rs. 500 at least").ok and told("It is 500.", "\uff15\uff10\uff10").ok
+    assert told("It is 501.", "Rs. 500").violations == ["NOT_FOUND"]
+    assert spark.range(1).select(gr.without_suffixes(F.lit("A. See https://x/9 now"), F.lit("https://x/9"), F.lit(None).cast("string"))).first()[0].split() == ["A.", "See", "now"]
+
+    class Linking:
+        def reply(self, question, context):
+            return "The exit load is 1% within a year. https://x/77"
+
+    e = embed.HashingEmbedder(64)
+    rows = chunks(spark, ("77", 0, "The exit load is 1% within a year."))
+    vectors = embed.embed(rows.withColumn("document", F.col("text")), "document", e)
+    asked = spark.createDataFrame([(1, "What is the exit load within a year?")], "query_id bigint, question string")
+    s = Settings(similarity_threshold=0.1, citation_score_floor=0.1)
+    assert answer.respond(asked, retrieve.retrieve(asked, vectors, e, s), Linking(), s).first().template_id == "FACTUAL"
+
+
 @pytest.mark.parametrize(
     "status, n, facts, tables_, chars, kind, flag",
     [

@@ -150,6 +150,74 @@ def test_replayed_sessions_are_whole(spark, tmp_path, parts):
     else:
         for k in range(parts):
             rows.where(f"event_id div 50 = {k}").coalesce(1).write.mode("append").parquet(str(path))
-    found = sessions.sessions_of_folder(spark, str(tmp_path), f"replayed_{parts}").collect()
+    found = sessions.sessions_of_folder(spark, str(tmp_path)).collect()
     # A user's events are 70 minutes apart: each is a session.
     assert (sum(r.n_events for r in found), len(found)) == (2000, 2000)
+
+
+def pdf_file(*pages, objects=(), packed=True):
+    """A PDF file with the given content streams, one a page."""
+    import zlib
+
+    kids = " ".join(f"{10 + 2 * k} 0 R" for k in range(len(pages)))
+    parts = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode()), (3, b"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>")]
+    for k, content in enumerate(pages):
+        data = zlib.compress(content) if packed else content
+        flate = b"/Filter /FlateDecode " if packed else b""
+        parts.append((10 + 2 * k, f"<< /Type /Page /Parent 2 0 R /Contents {11 + 2 * k} 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>".encode()))
+        parts.append((11 + 2 * k, b"<< " + flate + f"/Length {len(data)} >>\nstream\n".encode() + data + b"\nendstream"))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, body) for n, body in [*parts, *objects]) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+ONE = (
+    b"BT /F1 18 Tf 72 720 Td (BIG \\(TITLE\\)) Tj ET BT /F1 10 Tf 72 690 Td (4.1 Exit ) Tj (load) Tj 0 -30 Td [(Nil aft) 10 (er a) -300 (year)] TJ 0 -12 Td (and more) Tj ET\n"
+    b"BT /F1 10 Tf 1 0 0 1 72 600 Tm (Fund) Tj 1 0 0 1 200 600 Tm (Load) Tj 1 0 0 1 72 588 Tm (Big) Tj 1 0 0 1 200.5 588 Tm (1%) Tj ET"
+)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_pdf_reader(packed):
+    from docloom.sources import pdf_reader
+
+    cmap = b"<< /Length 99 >>\nstream\n1 beginbfrange <0041> <0043> <0078> endbfrange 1 beginbfchar <0044> <00e90021> endbfchar\nendstream"
+    mapped = [(4, b"<< /Type /Font /Subtype /Type0 /ToUnicode 5 0 R >>"), (5, cmap)]
+    first, second = pdf_reader.read(pdf_file(ONE, b"BT /F2 10 Tf 72 700 Td <0041004200430044> Tj ET", objects=mapped, packed=packed))
+    blocks = {}
+    for block, _, text, size in first.spans:
+        blocks.setdefault(block, [size, ""])[1] += text
+    assert [blocks[k] for k in sorted(blocks)][:3] == [[18.0, "BIG (TITLE)"], [10.0, "4.1 Exit load"], [10.0, "Nil after a year and more"]]
+    assert first.tables == [[["Fund", "Load"], ["Big", "1%"]]] and [s[2] for s in second.spans] == ["xyz\u00e9!"]
+    for broken in (b"", b"%PDF-1.4 nothing", pdf_file(b""), pdf_file(ONE) + b"/Encrypt 9 0 R"):
+        with pytest.raises(pdf_reader.UnreadablePdf):
+            pdf_reader.read(broken)
+
+
+def test_pdf_files_to_blocks(spark):
+    from docloom.operators import pdf
+
+    files_ = spark.createDataFrame([("a", bytearray(pdf_file(ONE))), ("b", bytearray(b"%PDF-broken")), ("c", None)], "source_id string, content binary")
+    found = pdf.file_blocks(pdf.read_files(files_)).orderBy("source_id", "pos").collect()
+    assert [(r.kind, r.text, r.heading_path) for r in found if r.source_id == "a"][:3] == [
+        ("heading", "BIG (TITLE)", ["BIG (TITLE)"]), ("heading", "4.1 Exit load", ["BIG (TITLE)", "4.1 Exit load"]), ("text", "Nil after a year and more", ["BIG (TITLE)", "4.1 Exit load"]),
+    ]
+    assert [r.table_rows for r in found if r.kind == "table"] == [[["Fund", "Load"], ["Big", "1%"]]]
+    assert [(r.source_id, r.kind) for r in found if r.source_id != "a"] == [("b", "error"), ("c", "error")]
+
+
+def test_fetched_bodies_leave_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(fetch, "HELD_BYTES", 10)
+    sources = spark.createDataFrame([(f"s{k}", f"https://h/p{k}") for k in range(7)], "source_id string, url string")
+    rows = fetch.fetch_all(sources, lambda url, timeout: fetch.Response(200, "text/html", b"12345678"), settings=Settings(http_delay_s=0.0), wait=lambda s: None).collect()
+    assert sorted((r.source_id, r.status, bytes(r.content)) for r in rows) == [(f"s{k}", "ok", b"12345678") for k in range(7)]
+
+
+def test_appended_sessions(spark, tmp_path, sf_dir):
+    """Sessions that the watermark closes are appended as Parquet; none is open for ever."""
+    events = sessions.read_events(spark, sf_dir)
+    query = sessions.append_sessions(events, str(tmp_path / "out"), str(tmp_path / "progress"))
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    closed = spark.read.parquet(str(tmp_path / "out"))
+    assert 0 < closed.agg(F.sum("n_events")).first()[0] <= spark.read.parquet(f"{sf_dir}/events.parquet").count()
