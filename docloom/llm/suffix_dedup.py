@@ -14,12 +14,14 @@ so equal strings have equal anchors, and suffixes need comparing only with
 suffixes of the same anchor. Neighbouring strings with the same anchor make a
 run; runs are collapsed before anything is sorted:
 
-1. A run whose bytes are those of an earlier run is removed as a whole.
+1. A run whose bytes are those of an earlier run is removed as a whole; runs
+   are dealt out by anchor and bytes.
 2. A run whose anchor no other kind of run has cannot repeat.
 3. The runs that are left, first of their kind and with a shared anchor, are
    dealt out by anchor, and suffix arrays of a bounded number of bytes are built
    over whole anchors' runs. An anchor of very many runs is dealt out once
-   more, string by string.
+   more, string by string, and equal strings are told apart from their first as
+   they pass, so no group of them is held.
 
 All three steps are exact but for collisions of 128 bits.
 """
@@ -233,58 +235,36 @@ def joined_up(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 
 def _collapse(runs: DataFrame) -> DataFrame:
-    """``key``, ``start``, ``n`` of runs that repeat an earlier one (``runs`` null), and of first ones with a shared anchor (``anchor``, ``runs``)."""
+    """``key``, ``start``, ``n`` of runs that repeat an earlier one (``anchor`` null), and of the first of each kind (``anchor``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor, bytes, key and start. What is held between batches is one row."""
-        names = ["key", "start", "n", "anchor"]
+        """Rows come sorted by anchor, bytes, key and start; what is held between batches is the last kind."""
         last: tuple[int, int] | None = None
-        waiting: tuple[int, int, int, int] | None = None  # the first kind of the anchor, not known to be shared yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            marked = batch.filter(batch.column("anchor").is_null())
-            if marked.num_rows:
-                yield pa.RecordBatch.from_arrays([marked.column(k) for k in (2, 3, 4, 0)], names)
-                batch = batch.filter(batch.column("anchor").is_valid())
-                if not batch.num_rows:
-                    continue
-            anchor, hashes, key, start, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            kind = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])))
-            fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
+            anchor, hashes = batch.column(0), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
+            marked = anchor.is_null().to_numpy(zero_copy_only=False)
+            value = anchor.fill_null(0).to_numpy(zero_copy_only=False)
+            later = np.concatenate(([False], (value[1:] == value[:-1]) & (hashes[1:] == hashes[:-1]) & ~marked[:-1]))
             if last is not None:
-                kind[0] = (anchor[0], hashes[0]) != last
-                fresh[0] = anchor[0] != last[0]
-            last = (anchor[-1], hashes[-1])
-            copies = np.nonzero(~kind)[0]
-            first = np.nonzero(kind)[0]
-            # A kind is shared if its anchor has another kind before it, or after it.
-            shared = ~fresh[first]
-            shared[:-1] |= ~fresh[first[1:]]
-            out = [first[shared]]
-            extra = None
-            if len(first):
-                if waiting is not None:
-                    if not fresh[first[0]]:
-                        extra = waiting
-                    waiting = None
-                if not shared[-1]:
-                    k = first[-1]
-                    waiting = (int(key[k]), int(start[k]), int(n[k]), int(anchor[k]))
-            rows = np.concatenate([copies, *out])
-            told = pa.array(np.concatenate([np.zeros(len(copies), np.int64), anchor[first[shared]]]), mask=np.arange(len(rows)) < len(copies))
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(start[rows]), pa.array(n[rows]), told], names)
-            if extra is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(extra, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names)
-
-    spark = runs.sparkSession
-    deal = F.coalesce("anchor", F.xxhash64("key", "start"))
-    dealt = runs.repartition(partitions_for(spark), deal).sortWithinPartitions("anchor", "bytes_hash", "key", "start")
+                later[0] = (value[0], hashes[0]) == last
+            if not marked[-1]:
+                last = (value[-1], hashes[-1])
+            told = pa.array(value, mask=marked | later)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (2, 3, 4)), told], ["key", "start", "n", "anchor"])
+
+    # Kinds, not anchors, are dealt: an anchor of very many kinds is no single task's, and equal runs of a batch are one row already.
+    kind = F.when(F.col("anchor").isNull(), F.xxhash64("key", "start")).otherwise(F.xxhash64("anchor", "bytes_hash"))
+    dealt = runs.repartition(partitions_for(runs.sparkSession), kind).sortWithinPartitions("anchor", "bytes_hash", "key", "start")
     return dealt.mapInArrow(run, _MARK + ", anchor bigint")
 
 
-def _texts_of(packed: DataFrame, shared: DataFrame, hot: DataFrame) -> DataFrame:
-    """Bytes of the shared runs: ``deal``, ``anchor``, ``key``, ``start``, ``bytes``; a hot anchor's runs string by string."""
+def _texts_of(packed: DataFrame, shared: DataFrame) -> DataFrame:
+    """Bytes of the shared runs: ``deal``, ``anchor``, ``key``, ``start``, ``bytes``; a hot anchor's runs string by string.
+
+    A string without bytes is one that repeats an earlier one of its batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -301,7 +281,7 @@ def _texts_of(packed: DataFrame, shared: DataFrame, hot: DataFrame) -> DataFrame
                     spans = [(a + k, a + k + LENGTH) for k in range(n)] if r["hot"] else [(a, a + n + LENGTH - 1)]
                     for s, e in spans:
                         part = raw[s:e]
-                        deal.append(digest(part) >> 1 if r["hot"] else 0)
+                        deal.append((digest(part) >> 1) | 1 if r["hot"] else 0)
                         anchors.append(anchor)
                         keys.append(key)
                         starts.append(s)
@@ -313,12 +293,20 @@ def _texts_of(packed: DataFrame, shared: DataFrame, hot: DataFrame) -> DataFrame
                 yield flush(deal, anchors, keys, starts, cut)
 
     def flush(deal, anchors, keys, starts, cut) -> pa.RecordBatch:
+        # Of equal strings of a hot anchor the first of the batch goes on, the others are repeats already.
+        first: dict[bytes, int] = {}
+        for k, (d, part) in enumerate(zip(deal, cut, strict=True)):
+            if d:
+                held = first.setdefault(part, k)
+                if (keys[k], starts[k]) < (keys[held], starts[held]):
+                    first[part] = k
+        cut = [part if not d or first[part] == k else None for k, (d, part) in enumerate(zip(deal, cut, strict=True))]
         return pa.RecordBatch.from_arrays(
             [pa.array(deal, pa.int64()), pa.array(anchors, pa.int64()), pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(cut, pa.binary())],
             ["deal", "anchor", "key", "start", "bytes"],
         )
 
-    told = shared.join(hot, "anchor", "left").select("key", F.struct("start", "n", "anchor", F.col("many").isNotNull().alias("hot")).alias("run"))
+    told = shared.select("key", F.struct("start", "n", "anchor", "hot").alias("run"))
     lists = told.groupBy("key").agg(F.collect_list("run").alias("runs"))
     joined = packed.join(lists, "key").select("key", "packed", "runs")
     return joined.mapInArrow(run, "deal bigint, anchor bigint, key bigint, start bigint, bytes binary")
@@ -336,26 +324,26 @@ def _sorted_repeats(strings: DataFrame) -> DataFrame:
         def settle() -> pa.RecordBatch:
             held.sort()
             keys, starts, ns = [], [], []
-            kinds: dict[bytes, int] = {}
-            rows = []
-            for row in held:
-                if kinds.setdefault(row[2], len(rows)) == len(rows):
-                    rows.append(row)
-                else:  # equal strings of a hot anchor: only the first needs sorting
-                    keys.append(row[0])
-                    starts.append(row[1])
-                    ns.append(len(row[2]) - LENGTH + 1)
-            for (key, start, _), found in zip(rows, repeats([r[2] for r in rows]), strict=True):
+            for (key, start, _), found in zip(held, repeats([r[2] for r in held]), strict=True):
                 if len(found):
                     breaks = np.nonzero(np.diff(found) != 1)[0] + 1
                     for part in np.split(found, breaks):
                         keys.append(key)
                         starts.append(start + int(part[0]))
                         ns.append(len(part))
+            return marks(keys, starts, ns)
+
+        def marks(keys: list, starts: list, ns: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(ns, pa.int32())], ["key", "start", "n"])
 
         for batch in batches:
+            keys, starts, ns = [], [], []
             for deal, anchor, key, start, data in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if data is None:
+                    keys.append(key)
+                    starts.append(start)
+                    ns.append(1)
+                    continue
                 if (anchor, deal) != name:
                     if size and size + group_size > CHUNK:
                         yield settle()
@@ -363,14 +351,23 @@ def _sorted_repeats(strings: DataFrame) -> DataFrame:
                     held += group
                     size += group_size
                     group, group_size, name = [], 0, (anchor, deal)
+                elif deal and group[-1][2] == data:  # only the first of equal strings needs sorting, or holding
+                    keys.append(key)
+                    starts.append(start)
+                    ns.append(len(data) - LENGTH + 1)
+                    continue
                 group.append((key, start, data))
                 group_size += len(data) + 1
+            if keys:
+                yield marks(keys, starts, ns)
         held += group
         if held:
             yield settle()
 
     spark = strings.sparkSession
-    dealt = strings.repartition(partitions_for(spark), "anchor", "deal").sortWithinPartitions("anchor", "deal", "key", "start")
+    # Equal strings come one after the other, the first first. Repeats of a batch only pass through; they go where
+    # their first goes, so a task that is run again after a loss is read whole or not at all.
+    dealt = strings.repartition(partitions_for(spark), "anchor", "deal").sortWithinPartitions("anchor", "deal", "bytes", "key", "start")
     return dealt.mapInArrow(run, _MARK)
 
 
@@ -454,9 +451,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = _packed(keyed)
     runs = _runs(packed)
     collapsed = stored(_collapse(runs), "collapsed")
-    shared = collapsed.where("anchor is not null")
-    hot = shared.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > HOT)
-    found = _sorted_repeats(_texts_of(packed, shared, hot))
+    first = collapsed.where("anchor is not null")
+    kinds = first.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor", (F.col("many") > HOT).alias("hot"))
+    found = _sorted_repeats(_texts_of(packed, first.join(kinds, "anchor")))
     marks = collapsed.where("anchor is null").select("key", "start", "n").union(found)
     cut = _cut(packed, marks)
     if names is None:
