@@ -14,8 +14,8 @@ so equal strings have equal anchors, and suffixes need comparing only with
 suffixes of the same anchor. Neighbouring strings with the same anchor make a
 run; runs are collapsed before anything is sorted:
 
-1. A run whose bytes are those of an earlier run is removed as a whole; runs
-   are dealt out by anchor and bytes.
+1. A run whose bytes are those of an earlier run is removed as a whole; a task
+   reads its anchors' runs in order and holds one of them.
 2. A run whose anchor no other kind of run has cannot repeat.
 3. The runs that are left, first of their kind and with a shared anchor, are
    dealt out by anchor, and suffix arrays of a bounded number of bytes are built
@@ -235,28 +235,53 @@ def joined_up(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.nda
 
 
 def _collapse(runs: DataFrame) -> DataFrame:
-    """``key``, ``start``, ``n`` of runs that repeat an earlier one (``anchor`` null), and of the first of each kind (``anchor``)."""
+    """``key``, ``start``, ``n`` of runs that repeat an earlier one (``runs`` null), and of first ones with a shared anchor (``anchor``, ``runs``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor, bytes, key and start; what is held between batches is the last kind."""
+        """Rows come sorted by anchor, bytes, key and start. What is held between batches is one row."""
+        names = ["key", "start", "n", "anchor"]
         last: tuple[int, int] | None = None
+        waiting: tuple[int, int, int, int] | None = None  # the first kind of the anchor, not known to be shared yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor, hashes = batch.column(0), batch.column(1).fill_null(0).to_numpy(zero_copy_only=False)
-            marked = anchor.is_null().to_numpy(zero_copy_only=False)
-            value = anchor.fill_null(0).to_numpy(zero_copy_only=False)
-            later = np.concatenate(([False], (value[1:] == value[:-1]) & (hashes[1:] == hashes[:-1]) & ~marked[:-1]))
+            marked = batch.filter(batch.column("anchor").is_null())
+            if marked.num_rows:
+                yield pa.RecordBatch.from_arrays([marked.column(k) for k in (2, 3, 4, 0)], names)
+                batch = batch.filter(batch.column("anchor").is_valid())
+                if not batch.num_rows:
+                    continue
+            anchor, hashes, key, start, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            kind = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])))
+            fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
             if last is not None:
-                later[0] = (value[0], hashes[0]) == last
-            if not marked[-1]:
-                last = (value[-1], hashes[-1])
-            told = pa.array(value, mask=marked | later)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (2, 3, 4)), told], ["key", "start", "n", "anchor"])
-
-    # Kinds, not anchors, are dealt: an anchor of very many kinds is no single task's, and equal runs of a batch are one row already.
-    kind = F.when(F.col("anchor").isNull(), F.xxhash64("key", "start")).otherwise(F.xxhash64("anchor", "bytes_hash"))
-    dealt = runs.repartition(partitions_for(runs.sparkSession), kind).sortWithinPartitions("anchor", "bytes_hash", "key", "start")
+                kind[0] = (anchor[0], hashes[0]) != last
+                fresh[0] = anchor[0] != last[0]
+            last = (anchor[-1], hashes[-1])
+            copies = np.nonzero(~kind)[0]
+            first = np.nonzero(kind)[0]
+            # A kind is shared if its anchor has another kind before it, or after it.
+            shared = ~fresh[first]
+            shared[:-1] |= ~fresh[first[1:]]
+            out = [first[shared]]
+            extra = None
+            if len(first):
+                if waiting is not None:
+                    if not fresh[first[0]]:
+                        extra = waiting
+                    waiting = None
+                if not shared[-1]:
+                    k = first[-1]
+                    waiting = (int(key[k]), int(start[k]), int(n[k]), int(anchor[k]))
+            rows = np.concatenate([copies, *out])
+            told = pa.array(np.concatenate([np.zeros(len(copies), np.int64), anchor[first[shared]]]), mask=np.arange(len(rows)) < len(copies))
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(start[rows]), pa.array(n[rows]), told], names)
+            if extra is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(extra, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names)
+
+    spark = runs.sparkSession
+    deal = F.coalesce("anchor", F.xxhash64("key", "start"))
+    dealt = runs.repartition(partitions_for(spark), deal).sortWithinPartitions("anchor", "bytes_hash", "key", "start")
     return dealt.mapInArrow(run, _MARK + ", anchor bigint")
 
 
@@ -451,9 +476,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed = _packed(keyed)
     runs = _runs(packed)
     collapsed = stored(_collapse(runs), "collapsed")
-    first = collapsed.where("anchor is not null")
-    kinds = first.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor", (F.col("many") > HOT).alias("hot"))
-    found = _sorted_repeats(_texts_of(packed, first.join(kinds, "anchor")))
+    shared = collapsed.where("anchor is not null")
+    hot = shared.groupBy("anchor").agg(F.count("*").alias("many")).where(F.col("many") > HOT).select("anchor", F.lit(True).alias("hot"))
+    told = shared.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    found = _sorted_repeats(_texts_of(packed, told))
     marks = collapsed.where("anchor is null").select("key", "start", "n").union(found)
     cut = _cut(packed, marks)
     if names is None:

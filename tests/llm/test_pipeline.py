@@ -69,6 +69,35 @@ def test_rows_count_without_and_with_repeated_ids(spark, sf_dir):
     assert found(corpus_pipeline.mix_sources(spark, docs, sf_dir)) == collections.Counter((i, t.lower()) for i, t in data)
 
 
+def test_rows_taken_twice(spark, documents, sf_dir, tmp_path):
+    """Sixty rows, each twice, in memory and in files: copies go, one row of each text stays, and no row has over three copies."""
+    sixty = documents.orderBy("doc_id").limit(60).cache()
+    twice = sixty.unionByName(sixty)
+    twice.repartition(5).write.parquet(str(tmp_path / "twice"))
+    different = {(r.text or "").encode().lower() for r in sixty.collect()}
+    for docs in (twice, spark.read.parquet(str(tmp_path / "twice"))):
+        exact = corpus_pipeline.drop_exact_copies(spark, docs, sf_dir)
+        assert exact.columns == documents.columns
+        assert sorted((r.text or "").encode().lower() for r in exact.collect()) == sorted(different)
+        mixed = collections.Counter(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, sf_dir).collect())
+        assert mixed and max(mixed.values()) <= 6
+        near = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()]
+        assert len(near) == len(set(near)) <= len(different)
+
+
+def test_keys_are_stable_and_all_different(spark, documents, tmp_path):
+    documents.repartition(6).write.parquet(str(tmp_path / "docs"))
+    read = spark.read.parquet(str(tmp_path / "docs"))
+    rows, key = corpus_pipeline._keyed(read)
+    first = {(r.doc_id, r[key]) for r in rows.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        again = {(r.doc_id, r[key]) for r in rows.where("length(text) >= 0 or text is null").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert first == again and len({k for _, k in first}) == read.count() and rows.columns == [*read.columns, key]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, sf_dir, name):
     compare(spark, duck(sf_dir), sf_dir, queries.QUERIES[name], queries.ORACLE_SQL[name])
