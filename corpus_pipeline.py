@@ -12,7 +12,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import exact_dedup, language, mixing, packing, simhash
@@ -22,10 +23,22 @@ from docloom.llm.common import scratch_root, stored
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a key of every row, and the key's name, which no column of ``docs`` has.
 
-    Keys follow from how rows lie in files, so they are written before anything is decided by them.
+    A row of a file is told by its file's number and its place there, however
+    the file is split, so texts need no copy. Other rows are written once with
+    their keys before anything is decided by them.
     """
     key = f"_row_{uuid.uuid4().hex}"
-    return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    file, place = f"{key}_file", f"{key}_place"
+    try:
+        located = docs.select(*([] if "_metadata" in docs.columns else ["*"]), F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:  # the rows are not those of files
+        located = None
+    if located is None or len(located.columns) == 2:
+        return stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    # A row a file: few enough to be put in one order.
+    number = (F.row_number().over(Window.orderBy(file)) - 1).cast("bigint")
+    files = stored(located.select(file).distinct().withColumn(key, F.shiftleft(number, 40)), "files")
+    return located.join(files, file).withColumn(key, F.col(key) + F.col(place)).drop(file, place), key
 
 
 def _only(rows: DataFrame, key: str, groups: DataFrame, largest: bool) -> DataFrame:
