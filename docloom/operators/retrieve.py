@@ -193,7 +193,8 @@ def rerank(hits: DataFrame, question: str, body: str, query_id: str, hit_id: str
     """``hits`` (with ``score`` and ``rank``) with ``lexical``, ``blended`` and the new ``rank``; ties keep their order."""
     lex = lexical_scores(hits, question, body, query_id, hit_id)
     blended = hits.join(lex, [query_id, hit_id]).withColumn("blended", F.col("score") + weight * F.col("lexical"))
-    order = Window.partitionBy(query_id).orderBy(F.desc("blended"), F.desc("score"), F.asc("_before"))
+    # Sums in another order differ in their last bits: what agrees to nine digits is a tie.
+    order = Window.partitionBy(query_id).orderBy(F.desc(F.round("blended", 9)), F.desc(F.round("score", 9)), F.asc("_before"))
     return blended.withColumnRenamed("rank", "_before").withColumn("rank", F.row_number().over(order)).drop("_before")
 
 

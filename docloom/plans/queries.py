@@ -193,7 +193,7 @@ _PLAIN = r"""trim(regexp_replace(array_to_string(list_filter(list_transform(stri
 
 
 @query(r"""
-    WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
+    WITH RECURSIVE a AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
                       regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS article FROM pages),
     t AS (SELECT *, {article} AS whole, regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1) AS h1 FROM a),
     parts AS (SELECT page_id, 0 AS place, 0 AS n, 'text' AS kind, {title} AS text FROM t
@@ -201,9 +201,16 @@ _PLAIN = r"""trim(regexp_replace(array_to_string(list_filter(list_transform(stri
         UNION ALL SELECT page_id, 2, 0, 'text', whole FROM t WHERE length(whole) <= 4000
         UNION ALL SELECT page_id, 2, 0, CASE WHEN length({h1}) <= 120 THEN 'heading' ELSE 'text' END, {h1} FROM t WHERE length(whole) > 4000
         UNION ALL SELECT page_id, 3, n, 'text', {p} FROM (SELECT page_id, whole, unnest(string_split(article, '<p>')) AS p, generate_subscripts(string_split(article, '<p>'), 1) AS n FROM t) WHERE length(whole) > 4000 AND n > 1),
-    said AS (SELECT * FROM parts WHERE length(text) >= 2 AND regexp_matches(text, '[A-Za-z0-9]')),
+    -- A text too long for a block is cut after the last sentence that fits, or else the last word.
+    cut(page_id, place, n, kind, k, text, rest) AS (
+        SELECT page_id, place, n, kind, 0, NULL::VARCHAR, text FROM parts
+        UNION ALL
+        SELECT page_id, place, n, kind, k + 1, left(rest, upto), CASE WHEN upto < length(rest) THEN ltrim(substr(rest, upto + 1)) END FROM (
+            SELECT *, CASE WHEN length(rest) <= 4000 THEN length(rest) WHEN regexp_matches(left(rest, 4001), '(?s)[.!?] ') THEN length(regexp_extract(left(rest, 4001), '(?s)^(.*[.!?]) ', 1))
+                      ELSE length(regexp_extract(left(rest, 4001), '(?s)^(.*) ', 1)) END AS upto FROM cut WHERE rest IS NOT NULL)),
+    said AS (SELECT * FROM cut WHERE k > 0 AND length(text) >= 2 AND regexp_matches(text, '[A-Za-z0-9]')),
     h AS (SELECT page_id, max(text) FILTER (kind = 'heading') AS heading FROM said GROUP BY 1)
-    SELECT s.page_id::VARCHAR AS source_id, 4294967296 + row_number() OVER (PARTITION BY s.page_id ORDER BY place, n) - 1 AS pos, kind, text,
+    SELECT s.page_id::VARCHAR AS source_id, 4294967296 + row_number() OVER (PARTITION BY s.page_id ORDER BY place, n, k) - 1 AS pos, kind, text,
            CASE WHEN heading IS NOT NULL AND place >= 2 THEN to_json([heading])::VARCHAR ELSE '[]' END AS heading_path, NULL::VARCHAR AS table_rows
     FROM said s JOIN h USING (page_id)""".replace("{article}", _PLAIN.format(c="article")).replace("{title}", _PLAIN.format(c="title")).replace("{ad}", _PLAIN.format(c="ad"))
     .replace("{h1}", _PLAIN.format(c="h1")).replace("{p}", _PLAIN.format(c="p")))
