@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -170,6 +171,87 @@ def top_k(
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Cells of one block of documents times queries.
+BLOCK_CELLS = 1 << 22
+
+
+def _shared_words(words: pa.Array, terms: pa.Array, starts: np.ndarray, owners: np.ndarray, queries: int) -> np.ndarray:
+    """Terms that each query (a row) shares with each document (a column) of a block.
+
+    ``owners[starts[t]:starts[t + 1]]`` are the queries that hold term ``t``.
+    """
+    code = pc.index_in(words.flatten(), value_set=terms)
+    known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+    term = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = pc.list_parent_indices(words).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    counts = np.zeros(queries * len(words), np.int32)
+    each = starts[term + 1] - starts[term]
+    upto = np.cumsum(each)
+    first = 0
+    while first < len(term):  # a term of many queries is met in parts of bounded memory
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + BLOCK_CELLS)))
+        n = each[first:last]
+        place = np.repeat(starts[term[first:last]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cells = owners[place] * len(words) + np.repeat(row[first:last], n)
+        counts += np.bincount(cells, minlength=len(counts)).astype(np.int32)
+        first = last
+    return counts.reshape(queries, len(words))
+
+
+def _scan_words(docs: DataFrame, asked: pa.Table, k: int, query_id: str, doc_id: str, body: str) -> DataFrame:
+    """The ``k`` documents of each partition that share most words with each query of ``asked``, which go to every task."""
+    lists = asked.column("_terms").combine_chunks()
+    terms = pc.unique(lists.flatten())
+    held = pc.index_in(lists.flatten(), value_set=terms).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(held, kind="stable")
+    owners = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[order].astype(np.int64)
+    starts = np.searchsorted(held[order], np.arange(len(terms) + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((terms, starts, owners, asked.column(query_id).combine_chunks()))
+    fields = [*from_arrow_schema(asked.select([query_id]).schema).fields, docs.schema[doc_id], T.StructField("n_shared", T.LongType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, starts, owners, names = shared.value
+        best = _Best(len(names), k)
+        rows = max(1, BLOCK_CELLS // max(1, len(names)))
+        for whole in batches:
+            for first in range(0, whole.num_rows, rows):
+                block = whole.slice(first, rows)
+                counts = _shared_words(block.column(1), terms, starts, owners, len(names))
+                best.add(block.select([doc_id]), block.column(0).to_pylist(), counts.astype(np.float64), counts > 0)
+        if best.rows is not None:
+            pairs = [(q, place, int(score)) for q, own in enumerate(best.found) for score, _, place in own]
+            found = best.rows.take([p for _, p, _ in pairs]).column(0).combine_chunks()
+            yield pa.RecordBatch.from_arrays([names.take(pa.array([q for q, _, _ in pairs])), found, pa.array([n for *_, n in pairs], pa.int64())], [query_id, doc_id, "n_shared"])
+
+    return docs.select(doc_id, tx.words_of(F.col(body)).alias("_words")).mapInArrow(run, T.StructType(fields))
+
+
+def lexical_top_k(questions: DataFrame, docs: DataFrame, k: int, query_id: str = "query_id", question: str = "question", doc_id: str = "doc_id", body: str = "body") -> DataFrame:
+    """``query_id, doc_id, n_shared, n_terms, score, rank``: the ``k`` documents that hold most of a question's content words.
+
+    Questions are a stated set that meets all documents where they lie, through
+    a table from word to questions; only the best ``k`` per question leave a
+    task, so no word's documents are gathered. Questions beyond
+    ``BROADCAST_BYTES`` make passes as in ``top_k``. Equal counts go by doc_id;
+    documents that share no word, and questions without words, give no row.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    asked = questions.select(query_id, tx.question_terms(F.col(question)).alias("_terms")).where(F.size("_terms") > 0)
+    size = asked.agg(F.sum(F.length(F.array_join("_terms", " ")) + 24 * F.size("_terms") + 64)).first()[0] or 0
+    passes, found = 1 + size // BROADCAST_BYTES, None
+    for number in range(passes):
+        own = asked if passes == 1 else asked.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == number)
+        part = _scan_words(docs, own.toArrow(), k, query_id, doc_id, body)
+        part = part if passes == 1 else part.checkpoint()
+        found = part if found is None else found.unionByName(part)
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("n_shared"), F.asc(doc_id)))
+    best = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return best.join(asked.select(query_id, F.size("_terms").alias("n_terms")), query_id).select(
+        query_id, doc_id, "n_shared", "n_terms", (F.col("n_shared").cast("double") / F.col("n_terms")).alias("score"), "rank"
+    )
+
+
 def above(hits: DataFrame, floor: float) -> DataFrame:
     """Hits at or above the floor; scores are rounded only afterwards."""
     return hits.where(F.col("score") >= floor).withColumn("score", F.round("score", 4))

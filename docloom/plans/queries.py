@@ -73,12 +73,7 @@ def _lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per benchmark question, the twelve documents that share most of its content words."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    terms = asked.select("query_id", "question", tx.question_terms(F.col("question")).alias("terms"))
-    each = terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("t"))
-    shared = docs.select("doc_id", F.explode(tx.words_of(F.col("body"))).alias("t")).join(each, "t")
-    counts = shared.groupBy("query_id", "doc_id").agg(F.count("*").alias("n_shared"), F.first("n_terms").alias("n_terms"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_shared"), "doc_id"))
-    best = counts.withColumn("rank", place).where("rank <= 12").withColumn("score", F.col("n_shared").cast("double") / F.col("n_terms"))
+    best = retrieve.lexical_top_k(asked, docs, 12)
     return best.join(docs, "doc_id").join(asked, "query_id")
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -436,3 +437,26 @@ def test_blocks_at_any_depth():
     for depth in (250, 3000):
         found = extract_html.blocks_of("<h2>Top</h2>" + "<p>" + "long text " * 450 + "<b>" * depth + "deep words" + "</b>" * depth + "<i>after</i></p>")
         assert [(b["text"], b["heading_path"]) for b in found][-2:] == [("deep words", ["Top"]), ("after", ["Top"])]
+
+
+@pytest.mark.parametrize("cells, passes", [(1 << 22, 32 << 20), (7, 300)])
+def test_lexical_top_k_is_the_brute_force(spark, monkeypatch, cells, passes):
+    """Blocks of one document, several passes, ties, texts and questions without words."""
+    monkeypatch.setattr(retrieve, "BLOCK_CELLS", cells)
+    monkeypatch.setattr(retrieve, "BROADCAST_BYTES", passes)
+    dice = random.Random(5)
+    words = [f"word{k}" for k in range(30)]
+    docs = [(k, " ".join(dice.choices(words, k=dice.randint(1, 12)))) for k in range(40)] + [(40, None), (41, ""), (42, "word1 " * 500)]
+    asked = [(k, " ".join(dice.choices(words, k=4))) for k in range(9)] + [(9, ""), (10, None), (11, "nothing alike")]
+    found = retrieve.lexical_top_k(
+        spark.createDataFrame(asked, "query_id bigint, question string"), spark.createDataFrame(docs, "doc_id bigint, body string").repartition(3), 5
+    ).collect()
+    want = set()
+    for q, question in asked:
+        terms = set((question or "").split())
+        alike = sorted((-len(terms & set((body or "").split())), d) for d, body in docs)
+        want |= {(q, d, -n, len(terms), k + 1) for k, (n, d) in enumerate([x for x in alike if x[0]][:5])}
+    assert {(r.query_id, r.doc_id, r.n_shared, r.n_terms, r["rank"]) for r in found} == want
+    assert len(found) == len(want) and all(r.score == r.n_shared / r.n_terms for r in found)
+    none = spark.createDataFrame([], "doc_id bigint, body string")
+    assert retrieve.lexical_top_k(spark.createDataFrame(asked, "query_id bigint, question string"), none, 5).collect() == []
