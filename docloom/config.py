@@ -18,6 +18,17 @@ SCHEME_TITLES = {
     "midcap": "Midcap Fund", "amc_wide": "Mutual Fund",
 }
 PLAN_TITLES = {"direct": "Direct plan", "regular": "Regular plan", "n_a": ""}
+#: What a client shows of a scheme: category, icon and tagline.
+SCHEME_CARDS = {
+    "large_cap": ("Large Cap", "trending_up", "Shares of the largest companies, in two plans."),
+    "flexi_cap": ("Flexi Cap", "donut_large", "Shares of companies of any size."),
+    "elss": ("ELSS Tax Saver", "savings", "Tax saving with a lock-in of three years."),
+    "midcap": ("Mid Cap", "speed", "Shares of companies of middle size."),
+    "amc_wide": ("AMC Factsheets", "account_balance", "Factsheets, holdings and downloads of all schemes."),
+}
+#: Questions to begin with, about a scheme's title; ``amc_wide`` has its own.
+STARTERS = ("What is the exit load of the {title}?", "What is the expense ratio of the {title}?", "What is the benchmark of the {title}?", "What is the minimum investment in the {title}?")
+STARTERS_OF_ALL = ("What is the date of the latest factsheet?", "Where are the portfolio holdings?", "Where can a statement be downloaded?")
 DOC_TYPES = ("scheme_page", "sid", "kim", "factsheet", "efactsheet", "downloads", "homepage", "third_party")
 STOPWORDS = (
     "a an the is are was were be been being of on in for to at by with and or as that this these those it its from "
@@ -35,10 +46,17 @@ class Vocabulary:
     plan_aliases: dict[str, str] = field(default_factory=lambda: dict(PLAN_ALIASES))
     scheme_titles: dict[str, str] = field(default_factory=lambda: dict(SCHEME_TITLES))
     plan_titles: dict[str, str] = field(default_factory=lambda: dict(PLAN_TITLES))
+    scheme_cards: dict[str, tuple[str, str, str]] = field(default_factory=lambda: dict(SCHEME_CARDS))
     doc_types: tuple[str, ...] = DOC_TYPES
     stopwords: tuple[str, ...] = tuple(STOPWORDS)
     brand: str = "the fund house"
 
+    def starters(self, scheme: str) -> list[str]:
+        """Questions to begin with about a scheme."""
+        if scheme == "amc_wide":
+            return list(STARTERS_OF_ALL)
+        return [s.format(title=self.scheme_titles[scheme]) for s in STARTERS]
+
 
 @dataclass(frozen=True)
 class Settings:

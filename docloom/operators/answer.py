@@ -153,6 +153,13 @@ def trace_rows(envelopes: DataFrame) -> DataFrame:
     return envelopes.select(F.to_json(record).alias("value"))
 
 
+def pii_trace_rows(screened: DataFrame) -> DataFrame:
+    """A JSON line per question refused for personal data: the pattern's name and the time, nothing of the question."""
+    at = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    record = F.struct(F.lit(True).alias("pii_blocked"), F.col("pii_pattern").alias("pattern"), at.alias("at"))
+    return screened.where("pii_pattern is not null").select(F.to_json(record).alias("value"))
+
+
 def catalogue(vocabulary: Vocabulary = VOCABULARY) -> list[tuple[str, str]]:
     """Schemes and their display names, for clients that browse."""
     return list(vocabulary.scheme_titles.items())

@@ -71,7 +71,13 @@ def counts_by_scheme(sources: DataFrame) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, sources: DataFrame, vocabulary: Vocabulary = VOCABULARY) -> DataFrame:
-    """Schemes with their titles and the document types the manifest has of each."""
-    names = spark.createDataFrame([*vocabulary.scheme_titles.items()], "scheme string, title string")
+    """Schemes with what a client shows of them and the document types the manifest has of each.
+
+    Returns ``scheme, title, category, icon, tagline, starters, doc_types``; a
+    scheme without a card has nulls, one without sources no document types.
+    """
+    blank = (None, None, None)
+    cards = [(s, title, *vocabulary.scheme_cards.get(s, blank), vocabulary.starters(s)) for s, title in vocabulary.scheme_titles.items()]
+    names = spark.createDataFrame(cards, "scheme string, title string, category string, icon string, tagline string, starters array<string>")
     kinds = sources.where("enabled").groupBy("scheme").agg(F.sort_array(F.collect_set("doc_type")).alias("doc_types"))
     return names.join(kinds, "scheme", "left")

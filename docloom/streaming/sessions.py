@@ -9,7 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docloom.config import SETTINGS
 from docloom.functions import guardrails as gr
 from docloom.sources.files import scratch_root
 
@@ -77,6 +79,42 @@ def rolling_memory(turns: DataFrame, keep: int = 10) -> DataFrame:
     )
 
 
+def session_memory(turns: DataFrame, keep: int = SETTINGS.memory_max_messages, ttl_s: int = SETTINGS.session_ttl_s, late: str = "10 minutes") -> DataFrame:
+    """The last ``keep`` non-blank messages of each live session of ``turns`` (``session_id, turn, ts, role, text``).
+
+    A session that was idle for over ``ttl_s`` seconds begins anew with its next
+    turn; its state leaves once the watermark is past that time. Turns count in
+    the order of ``ts`` and ``turn`` inside a batch, blank ones keep a session
+    alive; those later than the watermark are lost. Each batch gives a row for
+    each session it touches: ``session_id, last_seen, n, messages``. How many
+    sessions stay is a global order, which ``memory.live_sessions`` makes of
+    ``last_seen``.
+    """
+    out = "session_id string, last_seen timestamp, n int, messages array<string>"
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, held = state.get if state.exists else (None, [])
+        held = list(held)
+        turns_now = pd.concat(list(batches)).sort_values(["ts", "turn"], kind="stable")
+        for r in turns_now.itertuples():
+            at = r.ts.value // 1000
+            if seen is not None and at - seen > ttl_s * 1_000_000:
+                held = []
+            seen = at if seen is None else max(seen, at)
+            said = (r.text or "").strip()
+            held = [*held, f"{r.role}\t{said}"][-keep:] if said else held
+        state.update((seen, held))
+        # The first moment at which any further turn would find the session idle for too long.
+        state.setTimeoutTimestamp(max(seen // 1000 + ttl_s * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_id": [key[0]], "last_seen": [pd.Timestamp(seen, unit="us")], "n": [len(held)], "messages": [held]})
+
+    live = turns.select("session_id", "turn", "ts", "role", "text").where("session_id is not null and ts is not null").withWatermark("ts", late)
+    return live.groupBy("session_id").applyInPandasWithState(update, out, "last_seen bigint, messages array<string>", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def append_sessions(events: DataFrame, path: str, checkpoint: str, gap: str = "30 minutes", late: str = "10 minutes"):
     """Start a stream that appends sessions to a Parquet table as the watermark closes them; closed ones leave the state."""
     closed = session_counts(events, gap, late)

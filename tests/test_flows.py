@@ -1,5 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
+from docloom import __main__ as cli
 from docloom.config import Settings
 from docloom.operators import embed, index
 from docloom.plans import chat, ingest
@@ -74,3 +76,27 @@ def test_build_reads_pdf_files_and_says_which_it_cannot(spark, tmp_path):
     ingest.build(spark, str(path), str(tmp_path / "again"), transport=send, embedder=embed.HashingEmbedder(16), settings=Settings(http_delay_s=0.0), wait=lambda s: None, pdf_reader=other)
     told = spark.read.parquet(str(tmp_path / "again/blocks")).where("kind = 'error'").collect()
     assert {r.source_id for r in told} == {"k", "x"} and all("no reader here" in r.text for r in told)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path, root = tmp_path / "sources.csv", str(tmp_path / "root")
+    path.write_text("\n".join([HEAD, "a,large_cap,direct,third_party,https://example.com/a,true,", "b,flexi_cap,direct,third_party,https://example.com/b,true,"]) + "\n")
+    settings = Settings(similarity_threshold=0.05, citation_score_floor=0.05, http_delay_s=0.0)
+    ingest.build(spark, str(path), root, transport=transport, settings=settings, wait=lambda s: None)
+    asked = "what is the exit load of the large cap direct plan within a year?"
+    assert cli.main(["search", root, asked, "--threshold", "0.05", "--top-k", "1", "--full"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[:3] == ["verdict FACTUAL", "filter scheme=large_cap, plan=direct", "hits 1 at 0.05"] and "1% within a year" in "\n".join(lines[4:])
+    assert cli.main(["search", root, "should I buy it?"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["verdict ADVICE by should i"]
+    assert cli.main(["ask", root, asked, "--threshold", "0.05", "--no-chunks", "--trace"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[:2] == ["verdict FACTUAL", "template FACTUAL"] and "1%" in lines[2] and '"template_id":"FACTUAL"' in lines[-1] and "exit load" not in lines[-1]
+    assert cli.main(["ask", root, "my mail is me@example.com", "--trace"]) == 0
+    assert '{"pii_blocked":true,"pattern":"email","at":"' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["ask", root])
+    said, typed = [], iter(["tell me of the large cap direct plan", "", "what is its exit load within a year?", "/memory", "/reset", "/memory", "/quit"])
+    cli.chat(cli.Session(spark, root, settings), False, False, lambda prompt: next(typed), said.append)
+    assert "searched as: Large Cap Fund (Direct plan): what is its exit load within a year?" in said
+    assert "4/10 messages" in said and said[-2:] == ["nothing is remembered", "0/10 messages"]

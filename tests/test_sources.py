@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +24,9 @@ def test_manifest(spark, tmp_path):
     assert manifest.load(spark, path, enabled_only=True).count() == 1 and manifest.excluded(manifest.load(spark, path)).count() == 1
     assert {(r.scheme, r.n) for r in manifest.counts_by_scheme(manifest.load(spark, path)).collect()} == {("large_cap", 1), ("elss", 1)}
     assert manifest.catalogue(spark, manifest.load(spark, path)).where("scheme = 'large_cap'").first().doc_types == ["scheme_page"]
+    cards = {r.scheme: r for r in manifest.catalogue(spark, manifest.load(spark, path)).collect()}
+    assert len(cards) == 5 and cards["elss"].icon == "savings" and cards["elss"].category == "ELSS Tax Saver" and cards["elss"].tagline and cards["elss"].doc_types is None
+    assert cards["midcap"].starters[0] == "What is the exit load of the Midcap Fund?" and [len(cards[s].starters) for s in ("midcap", "amc_wide")] == [4, 3]
 
 
 @pytest.mark.parametrize(
@@ -131,6 +136,27 @@ def test_rolling_memory_stream(spark, tmp_path):
     assert rows == {1: ["user\tt2", "user\tt3", "user\tt4"], 2: []}
 
 
+@pytest.mark.parametrize("files", [1, 6])
+def test_session_memory_stream(spark, tmp_path, files):
+    """Sessions idle for over the limit begin anew, at the limit they do not; in one batch or several."""
+    schema = "session_id string, turn bigint, ts timestamp, role string, text string"
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    gaps = {"a": [0, 10, 1810, 1820], "b": [0, 10, 1811, 1812], "c": [5, 5, 5, 5000], "d": [7, 8, 9, 10]}
+    turns = sorted((at(s), name, n, "user", " " if (name, n) == ("d", 1) else f"{name}{n}") for name, times in gaps.items() for n, s in enumerate(times))
+    for k in range(files):
+        part = [(name, n, t, role, text) for j, (t, name, n, role, text) in enumerate(turns) if j * files // len(turns) == k]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"session_memory_{files}"
+    q = sessions.session_memory(read, keep=3, ttl_s=1800, late="1 day").writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = {}
+    for r in spark.table(name).orderBy("last_seen").collect():
+        last[r.session_id] = (r.last_seen, [m.split("\t")[1] for m in r.messages])
+    assert {s: m for s, (_, m) in last.items()} == {"a": ["a1", "a2", "a3"], "b": ["b2", "b3"], "c": ["c3"], "d": ["d0", "d2", "d3"]}
+    assert {s: t for s, (t, _) in last.items()} == {s: at(times[-1]) for s, times in gaps.items()}
+
+
 def test_window_stream(spark, sf_dir):
     counts = sessions.tumbling_counts(sessions.read_events(spark, sf_dir))
     q = counts.writeStream.outputMode("complete").format("memory").queryName("tumbling_test").trigger(availableNow=True).start()
