@@ -48,13 +48,18 @@ def signatures(text: Column, anchors: tuple[str, ...] = ANCHORS, skipped: tuple[
     def chains(segments: Column) -> Column:
         """Anchors of each segment's run with its content word and those of the segments after it."""
 
-        def of(segment: Column, k: Column) -> Column:
-            ahead = [F.regexp_extract(F.get(segments, k + j), "\\p{L}++\\z", 0) for j in range(chain)]
-            found = F.array_intersect(F.regexp_extract_all(segment, F.lit("\\p{L}++"), F.lit(0)), wanted)
-            whole = F.get(segments, k + (chain - 1)).rlike("\\p{L}\\z")
-            return F.when(whole, F.transform(found, lambda a: F.xxhash64(F.concat_ws(" ", a, *ahead)))).otherwise(F.array().cast("array<bigint>"))
-
-        return F.flatten(F.transform(segments, of))
+        def met(words: Column) -> Column:
+            def of(segment: Column, k: Column) -> Column:
+                # A segment that is its content word has no run; an index past the end gives null, which is no chain.
+                runs = (F.length(segment) > F.length(F.get(words, k))) & (F.get(words, k + (chain - 1)) != "")
+                found = F.array_intersect(F.regexp_extract_all(segment, F.lit("\\p{L}++"), F.lit(0)), wanted)
+                ahead = [F.get(words, k + j) for j in range(chain)]
+                return F.when(runs, F.transform(found, lambda a: F.xxhash64(F.concat_ws(" ", a, *ahead)))).otherwise(F.array().cast("array<bigint>"))
+
+            return F.flatten(F.transform(segments, of))
+
+        content = F.transform(segments, lambda s: F.regexp_extract(s, "\\p{L}++\\z", 0))
+        return F.get(F.transform(F.array(content), met), F.lit(0))
 
     # An array of one binds the segments to a name, so they are cut once a text.
     spots = F.get(F.transform(F.array(cut), chains), F.lit(0))
