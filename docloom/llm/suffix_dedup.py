@@ -16,10 +16,14 @@ run; runs are collapsed before anything is sorted:
 
 1. A run whose bytes are those of an earlier run is removed as a whole; a task
    reads its anchors' runs in order and holds one of them.
-2. A run whose anchor no other kind of run has cannot repeat.
-3. The runs that are left, first of their kind and with a shared anchor, are
-   dealt out by anchor, and suffix arrays of a bounded number of bytes are built
-   over whole anchors' runs. An anchor of very many runs is dealt out once
+2. A string holds the ``SIDE`` bytes before its anchor or those after it. Equal
+   strings have the same side, so the strings of a run that hold a side which no
+   other kind of run of the anchor has cannot repeat, nor can those of a run whose
+   anchor no other kind has. Sides are compared by 24 bits of a hash: strings that
+   collide are sorted in vain, none is lost.
+3. The runs that are left, first of their kind and cut to the strings with a
+   shared side, are dealt out by anchor, and suffix arrays of a bounded number of
+   bytes are built over whole anchors' runs. An anchor of very many runs is dealt out once
    more, string by string, and equal strings are told apart from their first as
    they pass, so no group of them is held.
 
@@ -39,6 +43,10 @@ from pyspark.sql import functions as F
 from .common import partitions_for, stored, text_or_empty
 
 LENGTH, GRAM = 100, 24
+#: Bytes before or after an anchor that a string holds at least on one of its sides.
+SIDE = (LENGTH - GRAM) // 2
+#: Kinds of runs of one anchor that a task holds to compare their sides; of more all go on.
+HELD = 1 << 17
 #: Bytes of documents that anchors are found in at once, and bytes of runs that one suffix array covers.
 BLOCK, CHUNK = 1 << 19, 1 << 19
 #: Runs of one anchor above which its strings are dealt out one by one, by their hashes.
@@ -119,11 +127,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def anchored_runs(block: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, number of strings and anchor hash of each run in ``block``, documents (ending at ``ends``) put end to end."""
+def anchored_runs(block: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number of strings, anchor hash and sides of each run in ``block``, documents (ending at ``ends``) put end to end.
+
+    Sides are 24 bits of the hash before the anchor, 24 of the one after it, and
+    the number of strings that hold the bytes before it, which come first.
+    """
     none = np.zeros(0, np.int64)
     if len(block) < LENGTH:
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none
     step = 0x9E3779B97F4A7C15
     with np.errstate(over="ignore"):
         power, size, power_of, sums = step, 1, {1: step}, {1: block.astype(np.uint64) + np.uint64(1)}
@@ -154,7 +166,22 @@ def anchored_runs(block: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.nonzero(opens)[0]
     stops = np.nonzero(np.concatenate((change | ~whole, [True])))[0]
     until = stops[np.searchsorted(stops, starts, side="right")]
-    return starts, until - starts, h[(mask - (low[starts] & mask)).astype(np.int64)]
+    place = (mask - (low[starts] & mask)).astype(np.int64)
+    before = np.clip(place - SIDE - starts + 1, 0, until - starts)
+
+    def side(at: np.ndarray) -> np.ndarray:
+        """24 bits of the hash of ``SIDE`` bytes; of no meaning where the block ends before."""
+        found, left = np.zeros(len(at), np.uint64), SIDE
+        while left:
+            size = min(1 << (left.bit_length() - 1), max(sums))
+            with np.errstate(over="ignore"):
+                found = found * np.uint64(power_of[size]) + sums[size][np.clip(at, 0, len(sums[size]) - 1)]
+            at, left = at + size, left - size
+        with np.errstate(over="ignore"):
+            return (_mixed(found) >> np.uint64(40)).astype(np.int64)
+
+    sides = side(place - SIDE) << 40 | side(place + GRAM) << 16 | before
+    return starts, until - starts, h[place], sides
 
 
 def _blocks(keys: list[int], raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray]]:
@@ -184,12 +211,12 @@ _MARK = "key bigint, start bigint, n int"
 
 
 def _runs(packed: DataFrame) -> DataFrame:
-    """Runs of all documents: ``anchor``, ``bytes_hash``, ``key``, ``start``, ``n`` (strings).
+    """Runs of all documents: ``anchor``, ``bytes_hash``, ``key``, ``start``, ``n`` (strings), ``sides``.
 
     Of equal runs of a batch only the first is compared with other batches; the
     others are later ones already and have no anchor.
     """
-    names = ["anchor", "bytes_hash", "key", "start", "n"]
+    names = ["anchor", "bytes_hash", "key", "start", "n", "sides"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -200,29 +227,29 @@ def _runs(packed: DataFrame) -> DataFrame:
             raws = (expand.decompress(x.as_py()) for x in batch.column(1))  # one at a time
             found = []
             for keys, offsets, raw, ends in _blocks(batch.column(0).to_pylist(), raws):
-                starts, n, anchor = anchored_runs(np.frombuffer(raw, np.uint8), ends)
+                starts, n, anchor, sides = anchored_runs(np.frombuffer(raw, np.uint8), ends)
                 if not len(starts):
                     continue
                 hashes = [digest(raw[a:b]) for a, b in zip(starts.tolist(), (starts + n + LENGTH - 1).tolist(), strict=True)]
                 doc = np.searchsorted(ends, starts, side="right")
                 begin = np.concatenate(([0], ends))[doc]
-                found.append((anchor, np.array(hashes, np.uint64), keys[doc], starts - begin + offsets[doc], n))
+                found.append((anchor, np.array(hashes, np.uint64), keys[doc], starts - begin + offsets[doc], n, sides))
             if not found:
                 continue
-            anchor, hashes, key, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
+            anchor, hashes, key, start, n, sides = (np.concatenate(x) for x in zip(*found, strict=True))
             order = np.lexsort((start, key, hashes, anchor))
-            anchor, hashes, key, start, n = anchor[order], hashes[order], key[order], start[order], n[order]
+            anchor, hashes, key, start, n, sides = (x[order] for x in (anchor, hashes, key, start, n, sides))
             later = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (hashes[1:] == hashes[:-1])))
             first = ~later
             yield pa.RecordBatch.from_arrays(
-                [_signed(anchor[first]), _signed(hashes[first]), pa.array(key[first]), pa.array(start[first]), pa.array(n[first].astype(np.int32))],
+                [_signed(anchor[first]), _signed(hashes[first]), *(pa.array(x[first]) for x in (key, start, n.astype(np.int32), sides))],
                 names,
             )
             key, start, n = joined_up(key[later], start[later], n[later])
             none = pa.nulls(len(key), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(start), pa.array(n.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), none], names)
 
-    return packed.mapInArrow(run, "anchor bigint, bytes_hash bigint, key bigint, start bigint, n int")
+    return packed.mapInArrow(run, "anchor bigint, bytes_hash bigint, key bigint, start bigint, n int, sides bigint")
 
 
 def joined_up(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -234,14 +261,47 @@ def joined_up(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return key[at], start[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def shared_strings(anchor: np.ndarray, start: np.ndarray, n: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of kinds of runs, sorted by anchor and no anchor cut short, those with a side that another kind of the anchor has: places, starts and numbers of the strings that hold it."""
+    fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))[: len(anchor)]
+    at = np.nonzero(~(fresh & np.concatenate((fresh[1:], [True]))[: len(anchor)]))[0]
+    group, start, n, sides = np.cumsum(fresh)[at], start[at], n[at].astype(np.int64), sides[at]
+    before = sides & 0xFFFF
+
+    def twice(hashed: np.ndarray, has: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(at), bool)
+        which = np.nonzero(has)[0]
+        value = group[which] << 24 | hashed[which] & 0xFFFFFF
+        order = np.argsort(value, kind="stable")
+        same = value[order][1:] == value[order][:-1]
+        found[which[order[1:][same]]] = found[which[order[:-1][same]]] = True
+        return found
+
+    first, second = twice(sides >> 40, before > 0), twice(sides >> 16, before < n)
+    begin, end = np.where(first, 0, before), np.where(second, n, before)
+    kept = first | second
+    return at[kept], (start + begin)[kept], (end - begin)[kept]
+
+
 def _collapse(runs: DataFrame) -> DataFrame:
-    """``key``, ``start``, ``n`` of runs that repeat an earlier one (``runs`` null), and of first ones with a shared anchor (``anchor``, ``runs``)."""
+    """``key``, ``start``, ``n`` of runs that repeat an earlier one (``anchor`` null), and of the strings of first ones that may repeat (``anchor``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by anchor, bytes, key and start. What is held between batches is one row."""
+        """Rows come sorted by anchor, bytes, key and start. What is held between batches is the last anchor's kinds, up to ``HELD``."""
         names = ["key", "start", "n", "anchor"]
         last: tuple[int, int] | None = None
-        waiting: tuple[int, int, int, int] | None = None  # the first kind of the anchor, not known to be shared yet
+        held: list[tuple[np.ndarray, ...]] = []  # kinds of the last anchor
+        many: int | None = None  # the last anchor, if it has more kinds than are held
+
+        def settled(kinds: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            if kinds:
+                anchor, key, start, n, sides = (np.concatenate(x) for x in zip(*kinds, strict=True))
+                at, start, n = shared_strings(anchor, start, n, sides)
+                yield rows(key[at], start, n, pa.array(anchor[at]))
+
+        def rows(key, start, n, anchor) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start), pa.array(n.astype(np.int32)), anchor], names)
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -251,33 +311,33 @@ def _collapse(runs: DataFrame) -> DataFrame:
                 batch = batch.filter(batch.column("anchor").is_valid())
                 if not batch.num_rows:
                     continue
-            anchor, hashes, key, start, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            anchor, hashes, key, start, n, sides = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             kind = np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (hashes[1:] != hashes[:-1])))
-            fresh = np.concatenate(([True], anchor[1:] != anchor[:-1]))
             if last is not None:
                 kind[0] = (anchor[0], hashes[0]) != last
-                fresh[0] = anchor[0] != last[0]
             last = (anchor[-1], hashes[-1])
-            copies = np.nonzero(~kind)[0]
-            first = np.nonzero(kind)[0]
-            # A kind is shared if its anchor has another kind before it, or after it.
-            shared = ~fresh[first]
-            shared[:-1] |= ~fresh[first[1:]]
-            out = [first[shared]]
-            extra = None
-            if len(first):
-                if waiting is not None:
-                    if not fresh[first[0]]:
-                        extra = waiting
-                    waiting = None
-                if not shared[-1]:
-                    k = first[-1]
-                    waiting = (int(key[k]), int(start[k]), int(n[k]), int(anchor[k]))
-            rows = np.concatenate([copies, *out])
-            told = pa.array(np.concatenate([np.zeros(len(copies), np.int64), anchor[first[shared]]]), mask=np.arange(len(rows)) < len(copies))
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(start[rows]), pa.array(n[rows]), told], names)
-            if extra is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(extra, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names)
+            if not kind.all():
+                yield rows(key[~kind], start[~kind], n[~kind], pa.nulls(int((~kind).sum()), pa.int64()))
+            kinds = tuple(x[kind] for x in (anchor, key, start, n, sides))
+            if many is not None:
+                on = kinds[0] == many
+                yield rows(*(x[on] for x in kinds[1:4]), pa.array(kinds[0][on]))
+                kinds = tuple(x[~on] for x in kinds)
+                if anchor[-1] == many:
+                    continue
+                many = None
+            if not len(kinds[0]):
+                continue
+            cut = int(np.searchsorted(kinds[0], anchor[-1]))  # where the last anchor's kinds begin
+            if cut or held and held[-1][0][-1] != anchor[-1]:
+                yield from settled([*held, tuple(x[:cut] for x in kinds)])
+                held = []
+            held.append(tuple(x[cut:] for x in kinds))
+            if sum(len(x[0]) for x in held) > HELD:
+                for part in held:
+                    yield rows(*part[1:4], pa.array(part[0]))
+                held, many = [], anchor[-1]
+        yield from settled(held)
 
     spark = runs.sparkSession
     deal = F.coalesce("anchor", F.xxhash64("key", "start"))

@@ -87,6 +87,42 @@ def test_op1_edges(spark, hot, monkeypatch):
     check_removal(df, [(i, (t or "").encode()) for i, t in docs])
 
 
+def phrases(spark, common):
+    """Documents that have nothing in common but a passage, each with another text around it."""
+    rng = random.Random(common)
+    own = lambda: "".join(rng.choice("abcdefgh") for _ in range(300))
+    phrase = own()[:common]
+    docs = [(k, own() + phrase + own()) for k in range(60)]
+    return docs, spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+
+
+@pytest.mark.parametrize(("common", "goes_on"), [(40, False), (52, False), (99, True), (100, True)])
+def test_op1_sorts_only_what_may_repeat(spark, common, goes_on):
+    """Runs that share an anchor but neither side of it are not sorted; those of a string that repeats are."""
+    docs, df = phrases(spark, common)
+    collapsed = suffix_dedup._collapse(suffix_dedup._runs(suffix_dedup._packed(df.withColumnRenamed("doc_id", "key"))))
+    assert (collapsed.where("anchor is not null").count() > 0) == goes_on
+    check_removal(df, [(i, t.encode()) for i, t in docs])
+
+
+@pytest.mark.parametrize("held", [3, 40, 1 << 17])
+def test_op1_kinds_over_batches(spark, held, monkeypatch):
+    """Kinds of an anchor that come in many batches, fewer and more than a task holds."""
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rng = random.Random(held)
+    base = "".join(rng.choice("abcdefgh") for _ in range(160))
+    docs = []
+    for k in range(120):
+        x = rng.randint(0, 59)
+        docs.append((k, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 80))) + base[x : x + rng.randint(70, 110)] + rng.choice("xyz") * rng.randint(0, 90)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        check_removal(df, [(i, t.encode()) for i, t in docs])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_op1_odd(odd, none):
     found = suffix_dedup.remove_repeats(odd).collect()
     assert collections.Counter(r.doc_id for r in found)[6] == 1 and len(found) == 12
