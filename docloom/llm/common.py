@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import uuid
@@ -41,11 +42,48 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of texts that a worker takes up at once.
+SLICE = 512
+
+
 def rows_in_arrow(
-    df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str
+    df: DataFrame,
+    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: T.StructType | str,
+    rows: int | None = None,
+    keeps: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``mapInArrow`` under the name the operators use; batches stay small because texts may be long."""
-    return df.mapInArrow(function, schema)
+    """``mapInArrow`` of which a worker holds little.
+
+    Batches come in slices of ``rows``, because texts may be long. Of what the
+    worker keeps for other work only ``keeps`` stays, and what a task frees goes
+    back to the system.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
+        yield from function(batches if rows is None else (b.slice(k, rows) for b in batches for k in range(0, max(1, b.num_rows), rows)))
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def forget(but: tuple[str, ...] = ()) -> None:
+    """Drop the objects of ``worker_cache`` that are not named in ``but``."""
+    kept = sys.__dict__.get("_docloom_kept", {})
+    gone = [name for name in kept if name not in but]
+    for name in gone:
+        del kept[name]
+    if gone:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def texts(column: pa.Array) -> list[str]:

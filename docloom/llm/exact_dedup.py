@@ -29,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored, text_or_empty, texts
+from .common import SLICE, partitions_for, rows_in_arrow, stored, text_or_empty, texts
 
 #: Digests in a bucket on average; larger ones make smaller indexes and slower builds.
 BUCKET_LOAD = 4
@@ -50,7 +50,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "digest"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, digest binary")
+    return rows_in_arrow(source, run, "doc_id bigint, digest binary", SLICE)
 
 
 def _places(words: np.ndarray, seed: np.ndarray, m: np.ndarray | np.uint64) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty, texts
+from .common import SLICE, rows_in_arrow, stored, text_or_empty, texts
 from .tokens import default_path, serializer
 
 #: Tokens of one partition: thousands of sequences, and rows of a few bytes.
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return rows_in_arrow(source, run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint", SLICE, (f"ids:{tokenizer}",))
 
 
 _PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, row bigint, sequence_id bigint, offset bigint"
@@ -110,7 +110,7 @@ def _one_pass(cut: DataFrame, capacity: int, open_bins: int, tokens: int, number
 
     # Rows are dealt by their own numbers, so neither a hot document nor many equal ones are one task's.
     dealt = cut.repartition(parts, F.xxhash64("row")).sortWithinPartitions(*order, F.xxhash64("row")).select(*kept)
-    return dealt.mapInArrow(run, _PLACED)
+    return rows_in_arrow(dealt, run, _PLACED)
 
 
 def pack(cut: DataFrame, capacity: int, open_bins: int) -> DataFrame:

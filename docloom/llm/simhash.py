@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored, texts
+from .common import SLICE, partitions_for, rows_in_arrow, stored, texts
 from .components import connected_components
 
 MAX_DISTANCE = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id bigint, fp bigint")
+    return rows_in_arrow(source, run, "doc_id bigint, fp bigint", SLICE)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:

@@ -12,10 +12,12 @@ import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import public_tokenizers
 from docloom.llm import (
+    common,
     components,
     exact_dedup,
     language,
@@ -35,6 +37,22 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
+def test_workers_keep_what_their_work_needs(spark):
+    """Batches come in slices, and what a worker keeps for other work goes when a task begins."""
+
+    def run(batches):
+        kept = sorted(sys.__dict__.get("_docloom_kept", {}))
+        sizes = [b.num_rows for b in batches]
+        for name in ("test:a", "test:b"):
+            common.worker_cache(name, list)
+        yield pa.RecordBatch.from_arrays([pa.array([sizes]), pa.array([kept], pa.list_(pa.string()))], ["sizes", "kept"])
+
+    df = spark.range(0, 1200, 1, 1)
+    for _ in range(4):
+        found = common.rows_in_arrow(df, run, "sizes array<bigint>, kept array<string>", 512, ("test:a",)).collect()
+        assert [r.sizes for r in found] == [[512, 512, 176]] and set(found[0].kept) <= {"test:a"}
+
+
 # -- 1: suffix arrays ------------------------------------------------------------------------------
 
 
