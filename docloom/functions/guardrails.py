@@ -15,7 +15,7 @@ from . import text as tx
 PII_PATTERNS = {
     "pan": "(^|[^A-Za-z0-9_])[A-Z]{5}[0-9]{4}[A-Z]($|[^A-Za-z0-9_])",
     "email": "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+",
-    "account": "(?i)(?:a/?c|account|folio)\\s*(?:no|number)?(?![A-Za-z0-9_])[^0-9\\n]{0,20}[0-9]{9,18}",
+    "account": "(?i)(?:a/?c|account|folio)\\s*(?:no|number)?([^A-Za-z0-9_][^0-9\\n]{0,19})?[0-9]{9,18}",
     "otp": "(?i)(?:otp|verification code|pin)\\s*[:.#]?\\s*[0-9]{4,6}",
     "phone": "(?:\\+?91[\\s-]?)?[6-9](?:[\\s-]?[0-9]){9}",
     "aadhaar": "(^|[^A-Za-z0-9_])[0-9]{4}[\\s-]?[0-9]{4}[\\s-]?[0-9]{4}($|[^A-Za-z0-9_])",

@@ -112,3 +112,14 @@ def test_urls(spark, url, name, pdf):
 
 def test_without_suffixes(spark):
     assert one(spark, "It is 1%. http://u", lambda c: gr.without_suffixes(c, F.lit("http://u"), F.lit(None))).strip() == "It is 1%."
+
+
+@pytest.mark.parametrize("text", ["hash 4454049ac802522025d5", "account\n123456789012", "folio number123456789", "A/C - 1234567890"])
+def test_pii_account_digits(spark, text):
+    """The SQL's pattern takes digits that follow at once, or on the next line, for an account's."""
+    assert one(spark, text, gr.find_pii) == "account"
+
+
+@pytest.mark.parametrize("text", ["accounts 123456789", "account 12345678", "account: \n123456789"])
+def test_pii_account_without_digits(spark, text):
+    assert one(spark, text, gr.find_pii) is None
