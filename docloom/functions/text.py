@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.config import STOPWORDS
 
+from .arrow import each
+
 #: Sentences end at a mark followed by white space.
 SENTENCE_END = "(?<=[.!?])\\s+"
 
@@ -109,10 +113,17 @@ def numeric_tokens(column: Column) -> Column:
     return F.array_distinct(F.transform(raw, canonical))
 
 
+def normalized(values: pa.Array, form: str) -> pa.Array:
+    """Strings in a normal form; those of ASCII alone are in every form."""
+    if pc.all(pc.string_is_ascii(values)).as_py() is not False:
+        return values
+    return each(values, lambda x: x if x is None else unicodedata.normalize(form, x), values.type)
+
+
 def _normalized(form: str):
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.str.normalize(form)
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return normalized(values, form)
 
     return run
 
