@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +50,12 @@ def embedding_text(text: Column, section_path: Column) -> Column:
 def embed(df: DataFrame, text_col: str, embedder: Embedder, batch: int = 32, out: str = "embedding") -> DataFrame:
     """``df`` with an ``array<float>`` column of embeddings; the encoder travels once to each worker."""
 
-    @F.pandas_udf("array<float>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.float32())
         for part in parts:
-            values = part.tolist()
-            vectors = [v for k in range(0, len(values), batch) for v in embedder.encode(values[k : k + batch])]
-            yield pd.Series(vectors, dtype=object)
+            vectors = [pa.array(embedder.encode(part.slice(k, batch).to_pylist()), kind) for k in range(0, len(part), batch)]
+            yield pa.concat_arrays(vectors) if vectors else pa.array([], kind)
 
     return df.withColumn(out, run(F.col(text_col)))
 

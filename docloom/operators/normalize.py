@@ -7,7 +7,9 @@ order, so rules need no ordered partitions.
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,20 +45,18 @@ def furniture_pattern(brand: str | None = None) -> str:
     return FURNITURE if not brand else f"(?i)\\Q{brand}\\E|" + FURNITURE[4:]
 
 
-def unicode_rule(blocks: DataFrame) -> DataFrame:
-    """NFC, no-break spaces as spaces, soft hyphens dropped; button labels cut off the ends of cells."""
-
-    @F.pandas_udf("array<array<string>>")
-    def cells(rows: pd.Series) -> pd.Series:
-        import unicodedata
+def _composed(values: pa.Array) -> pa.Array:
+    """Nested lists of strings in NFC; a missing string is empty."""
+    if not pa.types.is_list(values.type):
+        return tx.normalized(pc.fill_null(values, ""), "NFC")
+    sizes = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, _composed(values.flatten()), mask=pc.is_null(values))
 
-        return rows.map(lambda r: None if r is None else [[unicodedata.normalize("NFC", c or "") for c in row] for row in r])
 
-    @F.pandas_udf("array<string>")
-    def headings(paths: pd.Series) -> pd.Series:
-        import unicodedata
-
-        return paths.map(lambda p: None if p is None else [unicodedata.normalize("NFC", h or "") for h in p])
+def unicode_rule(blocks: DataFrame) -> DataFrame:
+    """NFC, no-break spaces as spaces, soft hyphens dropped; button labels cut off the ends of cells."""
+    cells, headings = F.arrow_udf(_composed, "array<array<string>>"), F.arrow_udf(_composed, "array<string>")
 
     spaced = lambda c: F.replace(F.replace(c, F.lit(" "), F.lit(" ")), F.lit("­"), F.lit(""))
     table = F.transform(cells("table_rows"), lambda r: F.transform(r, lambda c: F.regexp_replace(spaced(c), CALL_CELL, "")))
