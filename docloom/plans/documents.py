@@ -42,7 +42,8 @@ def _pushed(payload: Column) -> Column:
            to_json(path)::VARCHAR AS heading_path, to_json(rows)::VARCHAR AS table_rows FROM b""")
 def embedded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts, tax rows, cards and questions of payloads, a page per customer."""
-    c = table(spark, sf_dir, "customer")
+    # Pages are some fifty times as long as the rows that they are made of: those of one file make work for all tasks.
+    c = table(spark, sf_dir, "customer").withColumn("source_id", F.col("c_custkey").cast("string")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id")
     k, text = F.col("c_custkey"), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     card = lambda title, description, **more: F.struct(title.alias("title"), F.lit(description).alias("description"), *(v.alias(n) for n, v in more.items()))
     entry = lambda title, description: F.struct(title.alias("title"), description.alias("description"))
@@ -71,8 +72,8 @@ def embedded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     faq = text('<script id="json-ld-faqsSchema" type="application/ld+json">', F.to_json(F.struct(F.array(nothing, ask).alias("mainEntity"))), "</script>")
     html = text("<html><script>expenseRatio(broken</script>", _pushed(payload), _pushed(cards), faq, "</html>")
     plan = F.when(k % 3 == 1, "direct").when(k % 3 == 2, "regular").otherwise("n_a")
-    sources = c.select(k.cast("string").alias("source_id"), F.col("c_mktsegment").alias("scheme"), plan.alias("plan"), F.when(k % 2 == 0, "downloads").otherwise("sid").alias("doc_type"))
-    found = embedded.embedded_blocks(c.select(k.alias("page_id"), html.alias("html")), sources)
+    sources = c.select("source_id", F.col("c_mktsegment").alias("scheme"), plan.alias("plan"), F.when(k % 2 == 0, "downloads").otherwise("sid").alias("doc_type"))
+    found = embedded.embedded_blocks(c.select("source_id", html.alias("html")), sources, "source_id")
     return found.select("source_id", "pos", "kind", "text", F.to_json("heading_path").alias("heading_path"), F.to_json("table_rows").alias("table_rows"))
 
 
@@ -113,6 +114,8 @@ def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per customer with a block per order, in two spans, and a table after them."""
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     by = o.select(F.col("o_custkey").cast("string").alias("source_id"), F.lit(1).alias("page_num"), k.alias("block_no"), k.alias("k"), "o_orderpriority")
+    # Each row becomes seven spans: pages are put together while rows are rows, and spans stay where they are.
+    by = by.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "source_id")
     front = F.when(k % 5 == 0, "BIG HEAD ").when(k % 7 == 0, "").otherwise("prose ")
     end = F.when((k % 7 == 0) & (k % 5 != 0), F.concat(k.cast("string"), F.lit(". Part"))).otherwise(F.col("o_orderpriority"))
     size = F.when((k % 5 == 0) & (k % 2 == 0), 14.0).otherwise(10.0)
