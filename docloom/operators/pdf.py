@@ -50,16 +50,18 @@ def _headed(spans: DataFrame) -> DataFrame:
         .when(shouted, 2)
     )
     leveled = sized.withColumn("level", level)
-    upto = Window.partitionBy("source_id", "page_num").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy("source_id", "page_num").orderBy("block_no")
     # A first-level heading stands alone in the path, a second-level one after the heading before it.
-    heads = F.filter(F.collect_list(F.struct("block_no", "text", "level")).over(upto), lambda h: h["level"].isNotNull())
-    last, before = F.try_element_at(heads, F.lit(-1)), F.try_element_at(heads, F.lit(-2))
+    head = lambda *more: F.when(F.col("level").isNotNull(), F.struct("text", "level", *more))
+    earlier = leveled.withColumn("_before", F.last(head(), ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, -1))["text"])
+    headed = earlier.withColumn("_last", F.last(head("_before"), ignorenulls=True).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.col("_last")
     path = (
-        F.when(F.size(heads) == 0, F.array().cast("array<string>"))
-        .when((last["level"] == 1) | (F.size(heads) == 1), F.array(last["text"]))
-        .otherwise(F.array(before["text"], last["text"]))
+        F.when(last.isNull(), F.array().cast("array<string>"))
+        .when((last["level"] == 1) | last["_before"].isNull(), F.array(last["text"]))
+        .otherwise(F.array(last["_before"], last["text"]))
     )
-    return leveled.withColumn("heading_path", path)
+    return headed.withColumn("heading_path", path).drop("_before", "_last")
 
 
 def span_blocks(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -71,12 +73,13 @@ def span_blocks(spans: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     kind = F.when(F.col("level").isNotNull(), "heading").otherwise("text")
     found = shape(headed, 0, "block_no", kind, F.col("text"), F.lit(None).cast("array<array<string>>"))
     if tables is not None:
-        last = headed.groupBy("source_id", "page_num").agg(F.max_by("heading_path", "block_no").alias("_last"))
         wide = F.array_max(F.transform("table_rows", F.size))
         padded = F.transform("table_rows", lambda r: F.concat(F.transform(r, tx.clean), F.array_repeat(F.lit(""), wide - F.size(r))))
-        kept = tables.where((F.size("table_rows") > 1) & (wide > 1)).join(last, ["source_id", "page_num"], "left")
-        kept = kept.withColumn("heading_path", F.coalesce("_last", F.array().cast("array<string>"))).withColumn("table_rows", padded)
+        kept = tables.where((F.size("table_rows") > 1) & (wide > 1)).withColumns({"heading_path": F.lit(None).cast("array<string>"), "table_rows": padded})
         found = found.unionByName(shape(kept, 1, "table_no", F.lit("table"), F.lit(""), F.col("table_rows")))
+        # Blocks are put in order once, so a table finds the path of the last block before it without a second reading of the spans.
+        upto = Window.partitionBy("source_id", "page_num").orderBy("_place", "_number").rowsBetween(Window.unboundedPreceding, 0)
+        found = found.withColumn("heading_path", F.coalesce(F.last("heading_path", ignorenulls=True).over(upto), F.array().cast("array<string>")))
     order = Window.partitionBy("source_id").orderBy("page_num", "_place", "_number")
     return found.select(
         "source_id",
