@@ -134,10 +134,13 @@ def furniture_rule(blocks: DataFrame, share: float = 0.5, pattern: str = FURNITU
     return keyed.join(doomed, ["source_id", "_key"], "left_anti").select(*blocks.columns)
 
 
-def drop_repeated_lines(pages: DataFrame, share: float = 0.5, pattern: str = FURNITURE) -> DataFrame:
-    """Line-level variant: pages (``source_id, page_num, text``) without their recurring furniture lines."""
+def drop_repeated_lines(pages: DataFrame, share: float = 0.5, pattern: str = FURNITURE, only: bool = False) -> DataFrame:
+    """Line-level variant: pages (``source_id, page_num, text``) without their recurring furniture lines; ``only`` those of sources that have some.
+
+    A source's keys are hashed, so that its pages pass by and are not sorted.
+    """
     doomed = repeated_lines(pages, share, pattern).groupBy("source_id").agg(F.collect_set("key").alias("_doomed"))
-    joined = pages.join(doomed, "source_id", "left")
+    joined = pages.join(doomed.hint("shuffle_hash"), "source_id", "inner" if only else "left")
     lines = F.split(tx.text_of("text"), "\n")
     kept = F.filter(lines, lambda x: (tx.strip(x) != "") & ~F.array_contains(F.col("_doomed"), furniture_key(tx.strip(x))))
     return joined.withColumn("text", F.when(F.col("_doomed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_doomed")

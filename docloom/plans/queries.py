@@ -363,8 +363,7 @@ def line_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lines_without_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of sources that have furniture, without it."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("source_id"), F.col("doc_id").alias("page_num"), "text")
-    has = normalize.repeated_lines(docs, 0.05, ".").select("source_id").distinct()
-    cleaned = normalize.drop_repeated_lines(docs.join(has, "source_id", "left_semi"), 0.05, ".")
+    cleaned = normalize.drop_repeated_lines(docs, 0.05, ".", only=True)
     lines = F.filter(F.split("text", "\n"), lambda x: x != "")
     total = F.aggregate(lines, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x))
     return cleaned.select(F.col("page_num").alias("doc_id"), F.size(lines).cast("bigint").alias("n_lines"), total.alias("n_chars"))

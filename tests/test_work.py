@@ -21,3 +21,11 @@ def test_spans_are_joined_once(spark):
     got = [(r.pos, r.kind, r.heading_path) for r in found.orderBy("pos").collect()]
     path = ["Top", "1. Part"]
     assert got == [(0, "heading", ["Top"]), (1, "text", ["Top"]), (2, "heading", path), (3, "text", path), (4, "table", path), (5, "table", path), (6, "table", [])]
+
+
+def test_pages_are_not_sorted_by_source(spark, sf_dir):
+    """Texts of a source, however many, pass by its furniture's keys, which are found once."""
+    plan = catalog.queries()["lines_without_furniture"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    last = plan.split("Join", 1)
+    assert last[0].rstrip().endswith("ShuffledHash") and "Inner" in last[1].split("\n")[0]
+    assert plan.count("partial_collect_set(") == 1 and plan.count("Generate explode(") == 1
