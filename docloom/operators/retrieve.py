@@ -280,9 +280,23 @@ def rerank(hits: DataFrame, question: str, body: str, query_id: str, hit_id: str
     return blended.withColumnRenamed("rank", "_before").withColumn("rank", F.row_number().over(order)).drop("_before")
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """``df`` computed here, once, and kept in the checkpoint folder; on this machine alone in the session if there is none.
+
+    On a cluster without that folder it stays as it is, computed wherever it is used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    return df.localCheckpoint() if context.master.startswith("local[") or context.master == "local" else df
+
+
 def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, settings: Settings = SETTINGS, vocabulary: Vocabulary = VOCABULARY, threshold: float | None = None) -> DataFrame:
-    """Hits for ``questions`` (``query_id, question``) from an index's vectors, best first by ``rank``."""
+    """Hits for ``questions`` (``query_id, question``) from an index's vectors, best first by ``rank``.
+
+    They are used several times, here and in answers; the vectors are read, or made, once.
+    """
     asked = embed(resolve(questions.select("query_id", "question"), vocabulary=vocabulary), "question", embedder, out="query_vector")
-    found = top_k(asked, index, settings.top_k, vector_id="chunk_id", matches=ADMITS)
+    found = _once(top_k(asked, index, settings.top_k, vector_id="chunk_id", matches=ADMITS))
     kept = above(found, settings.similarity_threshold if threshold is None else threshold)
     return rerank(kept, "question", "document", "query_id", "chunk_id", settings.lexical_rerank_weight)

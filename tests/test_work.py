@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docloom.operators import pdf
+from docloom.operators import embed, pdf, retrieve
 from docloom.plans import catalog
 
 
@@ -29,3 +29,14 @@ def test_pages_are_not_sorted_by_source(spark, sf_dir):
     last = plan.split("Join", 1)
     assert last[0].rstrip().endswith("ShuffledHash") and "Inner" in last[1].split("\n")[0]
     assert plan.count("partial_collect_set(") == 1 and plan.count("Generate explode(") == 1
+
+
+def test_vectors_are_read_once(spark):
+    """Hits are kept: nothing that uses them comes back to the vectors."""
+    encoder = embed.HashingEmbedder(8)
+    rows = [(f"c{k}", f"word{k} and more", "s", "n_a") for k in range(9)]
+    index = embed.embed(spark.createDataFrame(rows, "chunk_id string, document string, scheme string, plan string"), "document", encoder)
+    asked = spark.createDataFrame([(1, "what is word3 and more")], "query_id long, question string")
+    hits = retrieve.retrieve(asked, index, encoder, threshold=-1.0)
+    assert "MapInArrow" not in hits._jdf.queryExecution().optimizedPlan().toString()
+    assert hits.orderBy("rank").first().chunk_id == "c3"
